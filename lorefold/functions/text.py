@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space as a Java/Python character class.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
