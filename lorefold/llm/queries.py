@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorefold.llm import leakage, repeated_lines, splitting
+from lorefold.llm import leakage, repeated_lines, splitting, template_residue
 from lorefold.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "p1_found": lambda s, d: template_residue.residue_cases(t(s, d, "page_snapshots"), t(s, d, "rawdocs")),
+    "p1_kept": lambda s, d: template_residue.without_residue(t(s, d, "page_snapshots"), t(s, d, "rawdocs")).select("rawdoc_id", "page_url", "text"),
     "p2_found": lambda s, d: repeated_lines.repeated_places(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
     "p2_sequences": lambda s, d: repeated_lines.frequent_sequences(repeated_lines.site_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items"))),
     "p2_clean": lambda s, d: repeated_lines.without_repeated_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
