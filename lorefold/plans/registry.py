@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lorefold.operators import nested
+from lorefold.session import table as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_found": lambda s, d: nested.record_places(nested.document_records(t(s, d, "knowledge_documents"), with_fields=False)),
+    "p7_records": lambda s, d: nested.document_records(t(s, d, "knowledge_documents")),
+}
 ORACLE: dict[str, str] = {}
 
 
