@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorefold.llm import leakage, repeated_lines, splitting, template_residue
+from lorefold.llm import leakage, main_content, repeated_lines, splitting, template_residue
 from lorefold.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": lambda s, d: repeated_lines.repeated_places(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
     "p2_sequences": lambda s, d: repeated_lines.frequent_sequences(repeated_lines.site_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items"))),
     "p2_clean": lambda s, d: repeated_lines.without_repeated_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
+    "p4_found": lambda s, d: main_content.main_content(t(s, d, "page_snapshots")),
     "p5_found": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")).select("chunk_id").distinct(),
     "p5_pieces": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")),
     "p5_sections": lambda s, d: splitting.section_pieces(t(s, d, "document_sections")),
