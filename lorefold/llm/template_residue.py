@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lorefold.functions.text import host_key, line_key
 from lorefold.operators.skew import salted_lookup
+from lorefold.session import materialise
 
 # A line is boilerplate if it stands on MIN_PAGES pages of its host, or, with the site's own name
 # masked, on pages of MIN_HOSTS hosts.
@@ -275,8 +276,8 @@ def text_cases(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_hosts: int
     """rawdoc_id of the captures whose text is residue: with a placeholder, or, once boilerplate is
     subtracted, without the title, a line of prose or two headings before the page's lists of other
     pages and comments."""
-    found = text_evidence(snapshots)
-    counts = line_counts(snapshots)
+    found = materialise(text_evidence(snapshots), "evidence")
+    counts = materialise(line_counts(snapshots), "line-counts")
     by_host = counts.where(F.col("pages") >= min_pages).select("host", "key", F.lit(True).alias("here"))
     everywhere = counts.groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts).select("key", F.lit(True).alias("there"))
     lines = found.where("not placeholder").select("rawdoc_id", "host", F.explode("lines").alias("l"))
