@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorefold.llm import leakage, main_content, repeated_lines, splitting, template_residue
+from lorefold.llm import language, leakage, main_content, repeated_lines, splitting, template_residue
 from lorefold.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")).select("chunk_id").distinct(),
     "p5_pieces": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")),
     "p5_sections": lambda s, d: splitting.section_pieces(t(s, d, "document_sections")),
+    "p6_found": lambda s, d: language.mislabelled_sections(t(s, d, "document_sections"), t(s, d, "knowledge_items"), language.fit(t(s, d, "lang_samples"))),
+    "p6_segments": lambda s, d: language.section_segments(t(s, d, "document_sections"), language.fit(t(s, d, "lang_samples"))),
+    "p6_documents": lambda s, d: language.document_languages(t(s, d, "document_sections"), language.fit(t(s, d, "lang_samples"))),
     "p9_found": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")).select("doc_id", "eval_id"),
     "p9_clean": lambda s, d: leakage.without_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
 }
