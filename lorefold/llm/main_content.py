@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorefold.functions.text import host_key, line_key
-from lorefold.llm.template_residue import _TRAILER, _masked, article_weight, evidence, has_placeholder
+from lorefold.functions.text import host_key
+from lorefold.llm.template_residue import _TRAILER, article_weight, evidence, has_placeholder, masked, page_keys, page_lines, site_name
 from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
@@ -301,19 +301,12 @@ def candidate_lines(snapshots: DataFrame) -> DataFrame:
 
 def site_boilerplate(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_hosts: int = MIN_HOSTS) -> tuple[DataFrame, DataFrame]:
     """(host, key) of lines that recur over a host's pages, and keys of lines naming their site that
-    recur over hosts. A host's number of pages rides along as the count of a key of its own."""
-    url = F.coalesce("page_url", "canonical_url")
-    page = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
-    lines = (
-        snapshots.where("text is not null")
-        .select(host_key(url).alias("host"), F.xxhash64(page).alias("page"), F.explode(F.array_distinct(F.concat(F.split("text", "\n", -1), F.array(F.lit("\x00"))))).alias("line"))
-        .select("host", "page", _masked(line_key(F.col("line")), F.col("host")).alias("line"))
-        .where("line <> ''")
-    )
-    named = F.contains("line", F.lit("@"))
-    counts = lines.select("host", F.xxhash64("line").alias("key"), named.alias("named"), "page").distinct().groupBy("host", "key", "named").agg(F.count("*").alias("pages"))
-    counts = materialise(counts, "site-lines")  # read three times below
-    pages = counts.where(F.col("key") == F.xxhash64(F.lit("\x00"))).select("host", F.col("pages").alias("all"))
+    recur over hosts."""
+    line = masked(F.col("line"), F.col("name"))
+    keyed = page_lines(snapshots).select("host", "page", line.alias("line")).select("host", F.xxhash64("line").alias("key"), F.contains("line", F.lit("@")).alias("named"), "page")
+    counts = keyed.distinct().groupBy("host", "key", "named").agg(F.count("*").alias("pages"))
+    counts = materialise(counts, "site-lines")  # read twice below
+    pages = page_keys(snapshots).distinct().groupBy("host").agg(F.count("*").alias("all"))
     here = counts.where(F.col("pages") >= min_pages).join(pages, "host").where(F.col("pages") >= F.col("all") * min_share).select("host", "key")
     there = counts.where("named").groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts).select("key")
     return here, there
@@ -328,7 +321,7 @@ def main_content(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     other than those named here are not read."""
     found = candidate_lines(snapshots)
     here, there = site_boilerplate(snapshots, min_pages, min_share, min_hosts)
-    keyed = found.select("rawdoc_id", "host", "line_no", F.xxhash64(_masked(line_key(F.col("line")), F.col("host"))).alias("key"))
+    keyed = found.select("rawdoc_id", "host", "line_no", "line", site_name(F.col("host")).alias("name")).select("rawdoc_id", "host", "line_no", F.xxhash64(masked(F.col("line"), F.col("name"))).alias("key"))
     marked = salted_lookup(keyed, here.withColumn("here", F.lit(True)), ["host", "key"], ["rawdoc_id"], how="left")
     marked = salted_lookup(marked, there.withColumn("there", F.lit(True)), ["key"], ["rawdoc_id"], how="left")
     return marked.where("here is null and there is null").select("rawdoc_id", "line_no").distinct()

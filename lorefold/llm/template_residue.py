@@ -217,24 +217,35 @@ def uri_cases(rawdocs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "rawdoc_id string").distinct()
 
 
-def _masked(line: Column, host: Column) -> Column:
-    """Key of a line with the site's own name, as its host spells it, replaced."""
-    name = F.translate(F.element_at(F.split(host, r"\."), 1), "-", " ")
-    return F.when(F.length(name) > 3, F.replace(line, F.regexp_replace(name, r"\p{Nd}+", "0"), F.lit("@"))).otherwise(line)
+def site_name(host: Column) -> Column:
+    """The site's own name as its host spells it, in the form of line keys; empty if too short."""
+    name = F.regexp_replace(F.translate(F.element_at(F.split(host, r"\."), 1), "-", " "), r"\p{Nd}+", "0")
+    return F.when(F.length(name) > 3, name).otherwise("")
 
 
-def line_counts(snapshots: DataFrame) -> DataFrame:
-    """(host, key, pages): on how many pages of the host each normalised line stands. Captures of one
-    address count once; the host's name is masked, and the count is combined before its shuffle."""
+def masked(line: Column, name: Column) -> Column:
+    """Key of a line with the site's own name replaced."""
+    return F.replace(line_key(line), name, F.lit("@"))
+
+
+def page_keys(snapshots: DataFrame, *more: str) -> DataFrame:
+    """(host, page, ...) of each capture; captures of one address have one page."""
     url = F.coalesce("page_url", "canonical_url")
     page = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
-    lines = (
-        snapshots.where(F.col("text").isNotNull())
-        .select(host_key(url).alias("host"), F.xxhash64(page).alias("page"), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-        .select("host", "page", line_key(F.col("line")).alias("line"))
-        .where("line <> ''")
-    )
-    keyed = lines.select("host", F.xxhash64(_masked(F.col("line"), F.col("host"))).alias("key"), "page").distinct()
+    return snapshots.select(host_key(url).alias("host"), F.xxhash64(page).alias("page"), *more)
+
+
+def page_lines(snapshots: DataFrame) -> DataFrame:
+    """(host, name, page, line): the distinct non-blank lines of each text. Host, name and page are made
+    once per capture, below the explode."""
+    pages = page_keys(snapshots, "text").where("text is not null").select("host", site_name(F.col("host")).alias("name"), "page", "text")
+    return pages.select("host", "name", "page", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.trim("line") != "")
+
+
+def line_counts(snapshots: DataFrame) -> DataFrame:
+    """(host, key, pages): on how many pages of the host each normalised line stands. The host's name
+    is masked, and the count is combined before its shuffle."""
+    keyed = page_lines(snapshots).select("host", F.xxhash64(masked(F.col("line"), F.col("name"))).alias("key"), "page").distinct()
     return keyed.groupBy("host", "key").agg(F.count("*").alias("pages"))
 
 
@@ -282,7 +293,7 @@ def text_cases(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_hosts: int
     everywhere = counts.groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts).select("key", F.lit(True).alias("there"))
     lines = found.where("not placeholder").select("rawdoc_id", "host", F.explode("lines").alias("l"))
     trailer = lines.where("l.kind = 'trailer'").groupBy("rawdoc_id").agg(F.min("l.no").alias("trailer"))
-    weighed = lines.where("l.weight > 0").select("rawdoc_id", "host", F.col("l.no").alias("no"), F.col("l.weight").alias("weight"), F.xxhash64(_masked(line_key(F.col("l.line")), F.col("host"))).alias("key"))
+    weighed = lines.where("l.weight > 0").select("rawdoc_id", "host", F.col("l.no").alias("no"), F.col("l.weight").alias("weight"), F.xxhash64(masked(F.col("l.line"), site_name(F.col("host")))).alias("key"))
     marked = salted_lookup(weighed, by_host, ["host", "key"], ["rawdoc_id"], how="left")
     marked = salted_lookup(marked, everywhere, ["key"], ["rawdoc_id"], how="left").join(trailer, "rawdoc_id", "left")
     left = marked.where("here is null and there is null and (trailer is null or no < trailer)")
