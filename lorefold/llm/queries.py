@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorefold.llm import language, leakage, main_content, repeated_lines, splitting, template_residue
+from lorefold.llm import language, leakage, main_content, near_duplicates, packing, reading_level, repeated_lines, splitting, template_residue
 from lorefold.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": lambda s, d: repeated_lines.repeated_places(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
     "p2_sequences": lambda s, d: repeated_lines.frequent_sequences(repeated_lines.site_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items"))),
     "p2_clean": lambda s, d: repeated_lines.without_repeated_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
+    "p3_found": lambda s, d: near_duplicates.similar_documents(t(s, d, "document_sections")).select("doc_id_a", "doc_id_b"),
+    "p3_groups": lambda s, d: near_duplicates.near_duplicate_groups(t(s, d, "document_sections")),
     "p4_found": lambda s, d: main_content.main_content(t(s, d, "page_snapshots")),
     "p5_found": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")).select("chunk_id").distinct(),
     "p5_pieces": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")),
@@ -24,8 +26,10 @@ QUERIES: dict[str, Query] = {
     "p6_found": lambda s, d: language.mislabelled_sections(t(s, d, "document_sections"), t(s, d, "knowledge_items"), language.fit(t(s, d, "lang_samples"))),
     "p6_segments": lambda s, d: language.section_segments(t(s, d, "document_sections"), language.fit(t(s, d, "lang_samples"))),
     "p6_documents": lambda s, d: language.document_languages(t(s, d, "document_sections"), language.fit(t(s, d, "lang_samples"))),
+    "p8_containers": lambda s, d: packing.pack(packing.token_lengths(t(s, d, "documents"))),
     "p9_found": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")).select("doc_id", "eval_id"),
     "p9_clean": lambda s, d: leakage.without_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
+    "p10_levels": lambda s, d: reading_level.reading_levels(t(s, d, "documents"), t(s, d, "reading_labels")),
 }
 
 ORACLE: dict[str, str] = {}
