@@ -59,14 +59,13 @@ def bm25(post: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = terms.select("term").distinct()
     hit = post.join(wanted, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg = F.col("n"), F.col("avg_size")
+    size = stats.first()  # one row
+    n, average = float(size["n"] or 0), float(size["avg_size"] or 1.0)
     raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    weighted = weighted.withColumn("idf", F.when(raw > 0, raw).otherwise(1e-6)).select("term", "query_id", (F.col("weight") * F.col("idf")).alias("w"), "avg_size")
-    packed = weighted.groupBy("term").agg(F.collect_list(F.struct("query_id", "w", "avg_size")).alias("qs"))
-    joined = salted_lookup(hit, packed, ["term"], ["key"]).select("key", "tf", "size", F.explode("qs").alias("q"))
-    part = F.col("q.w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("q.avg_size")))
-    return joined.groupBy(F.col("q.query_id").alias("query_id"), "key").agg(F.sum(part).alias("score"))
+    weighted = terms.join(df, "term").select("term", "query_id", (F.col("weight") * F.when(raw > 0, raw).otherwise(1e-6)).alias("w"))
+    joined = salted_lookup(hit, weighted, ["term"], ["key"])
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / average))
+    return joined.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 
 def top_hits(scores: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Join rows with a lookup that is unique in keys. Each row goes to one of `salts` copies of
+    """Join rows with a lookup. Each row goes to one of `salts` copies of
     its key by the hash of the spread columns, so a hot key is divided over `salts` tasks; the
     lookup is repeated `salts` times. No row is dropped or capped."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
