@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorefold.operators import nested
-from lorefold.plans import content, library
+from lorefold.plans import content, extraction, library
 from lorefold.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": lambda s, d: nested.record_places(nested.document_records(t(s, d, "knowledge_documents"), with_fields=False)),
     "p7_records": lambda s, d: nested.document_records(t(s, d, "knowledge_documents")),
 }
-QUERIES |= content.QUERIES | library.QUERIES
-ORACLE: dict[str, str] = content.ORACLE | library.ORACLE
+QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES
+ORACLE: dict[str, str] = content.ORACLE | library.ORACLE | extraction.ORACLE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
