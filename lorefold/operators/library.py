@@ -50,7 +50,8 @@ def delete_plan(selected: DataFrame, selected_collections: DataFrame, members: D
     ids = selected.select(F.col("member").alias("id")).union(inside.select(F.col("member").alias("id"))).distinct()
     broken = inside.join(failed.select("member"), "member", "left_semi").select("collection").distinct()
     shells = selected_collections.join(broken, "collection", "left_anti")
-    return ids.select(F.lit("item").alias("kind"), "id").union(shells.select(F.lit("collection").alias("kind"), F.col("collection").alias("id")))
+    row = lambda kind, key: (F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"))
+    return ids.select(*row("item", "id")).union(shells.select(*row("collection", "collection")))
 
 
 def annotation_rollup(annotations: DataFrame) -> DataFrame:
@@ -98,14 +99,11 @@ def import_identity(content_hash: Column, canonical: Column, og_url: Column) ->
 
 def error_code(message: Column) -> Column:
     """Class of an import error by what its message says."""
-    m = F.lower(message)
     return (
-        F.when(m.contains("timeout") | m.contains("timed out"), "timeout")
-        .when(m.contains("expected html") | m.contains("content type"), "unsupported_content")
-        .when(m.contains("too large") | m.contains("exceeds"), "too_large")
-        .when(m.contains("not found") | m.contains("enoent"), "not_found")
-        .when(m.contains("parse"), "parse_failed")
-        .otherwise("unknown")
+        F.when(message.contains("fetch"), "fetch_failed")
+        .when(message.contains("parse_failed") | message.contains("pandoc"), "parse_failed")
+        .when(message.contains("SQLITE") | message.contains("Path escapes"), "save_failed")
+        .otherwise("import_failed")
     )
 
 

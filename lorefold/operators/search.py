@@ -69,9 +69,10 @@ def bm25(post: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def top_hits(scores: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """scores with rank, the best `limit` of each query (between 1 and 50); ties go to the lesser key."""
+    """scores with rank, the best `limit` of each query (between 1 and 50). Scores that agree to nine digits
+    are ties, whatever the order they were summed in; ties go to the lesser key."""
     k = max(1, min(limit or SEARCH_LIMIT, SEARCH_MAX))
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
+    w = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "key")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

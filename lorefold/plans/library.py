@@ -32,7 +32,7 @@ def _scores(s, d):  # noqa: ANN001, ANN202
 
 
 def _hits(s, d, limit=10):  # noqa: ANN001, ANN202
-    return se.top_hits(_scores(s, d).withColumn("score", F.round("score", 9)), limit)
+    return se.top_hits(_scores(s, d), limit)
 
 
 def _ranked(s, d):  # noqa: ANN001, ANN202
@@ -134,7 +134,7 @@ QUERIES = {
     "fts_corpus_stats": lambda s, d: se.corpus_statistics(_docs(s, d), "doc_id", "title", "text").select("n", F.round("avg_size", 6).alias("avg_size")),
     "fts_postings": lambda s, d: _postings(s, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")),
     "bm25_batch": lambda s, d: _hits(s, d).select("query_id", "key", "rank", F.round("score", 6).alias("score")),
-    "bm25_search": lambda s, d: se.top_hits(se.bm25(_postings(s, d), se.corpus_statistics(_docs(s, d), "doc_id", "title", "text"), s.range(1).select(F.lit(0).alias("query_id"), F.explode(se.tokens(F.lit("durable archive of the second edition"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))).withColumn("score", F.round("score", 9)), 20).select("key", "rank", F.round("score", 6).alias("score")),
+    "bm25_search": lambda s, d: se.top_hits(se.bm25(_postings(s, d), se.corpus_statistics(_docs(s, d), "doc_id", "title", "text"), s.range(1).select(F.lit(0).alias("query_id"), F.explode(se.tokens(F.lit("durable archive of the second edition"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))), 20).select("key", "rank", F.round("score", 6).alias("score")),
     "search_trace": _trace,
     "context_pack": lambda s, d: se.context_text(se.context_blocks(_ranked(s, d))).select("query_id", "citations", "used_chars", F.sha2("context", 256).alias("context_hash")),
     "retrieval_eval": lambda s, d: _evaluate(s, d).select("queries", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5")]),
@@ -214,7 +214,7 @@ ORACLE = {
     "collections_by_doc": f"with {v.MEMBERS} select member, count(*) collections, min(collection) first_collection from members group by 1",
     "standalone_items": "select p_partkey item_id, p_name title from part where p_partkey not in (select l_partkey from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F')",
     "delete_plan": f"with {v.MEMBERS}, sc as (select o_orderkey collection from orders where o_orderpriority = '1-URGENT'), ins as (select m.* from members m join sc on sc.collection = m.collection), failed as (select distinct member from members where order_index = 6)"
-    " select 'item' kind, member id from (select member from members where order_index = 7 union select member from ins) union all select 'collection', collection from sc where collection not in (select collection from ins join failed on failed.member = ins.member)",
+    " select 'item' kind, cast(member as varchar) id from (select member from members where order_index = 7 union select member from ins) union all select 'collection', cast(collection as varchar) from sc where collection not in (select collection from ins join failed on failed.member = ins.member)",
     "annotation_rollup": f"with {v.ANNOTATIONS} select doc_id, count(*) annotations, count(*) filter (where orphaned) orphaned, arg_max(annotation_id, (created_at, annotation_id)) latest from annotations group by 1",
     "annotation_types_map": f"with {v.ANNOTATIONS} select doc_id, '{{' || string_agg('\"' || type || '\":' || n, ',' order by type) || '}}' types from (select doc_id, type, count(*) n from annotations group by 1, 2) group by 1",
     "annotation_top_types": f"with {v.ANNOTATIONS} select doc_id, string_agg(type || ' ' || n, ', ' order by rn) as label from (select *, row_number() over (partition by doc_id order by n desc, type) rn from (select doc_id, type, count(*) n from annotations group by 1, 2)) where rn <= 2 group by 1",
