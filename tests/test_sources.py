@@ -13,9 +13,10 @@ P = lambda *xs: {"t": "Para", "c": list(xs)}
 
 def test_blocks():
     image = {"t": "Image", "c": [[], [S("figure_1_1")], ["a.png", ""]]}
-    cell = lambda t: [[], "", 1, 1, [P(S(t))]]
-    row = lambda *ts: [[], [cell(t) for t in ts]]
-    table = {"t": "Table", "c": [[], [], [], [[], [row("Name", "Value")]], [[[], 0, [], [row("Alpha", "One")]]], [[], []]]}
+    attr = ["", [], []]
+    cell = lambda t: [attr, {"t": "AlignDefault"}, 1, 1, [P(S(t))]]
+    row = lambda *ts: [attr, [cell(t) for t in ts]]
+    table = {"t": "Table", "c": [attr, [None, []], [], [attr, [row("Name", "Value")]], [[attr, 0, [], [row("Alpha", "One")]]], [attr, []]]}
     blocks = [{"t": "Header", "c": [2, [], [S("H")]]}, P(S("a"), {"t": "Space"}, S("b"), image), {"t": "BulletList", "c": [[P(S("x"))], [P(S("y"))]]}, {"t": "Div", "c": [[], [{"t": "Div", "c": [[], [table]]}]]}, {"t": "HorizontalRule"}, {"t": "CodeBlock", "c": [[], "code"]}]
     got = epub.blocks_to_sections(blocks)
     assert [s["type"] for s in got] == ["heading", "paragraph", "figure", "list", "table", "code"]
