@@ -101,7 +101,7 @@ def split_items(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, o
         raise ValueError("overlap must be less than half the limit")
     names = [f"k{i}" for i in range(len(keys))]
     cols = [F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)]
-    ctx = F.array_join(F.filter(F.transform(F.split(F.col(f"`{context}`"), ">"), F.trim), lambda s: s != ""), " > ") if context else F.lit(None).cast("string")
+    ctx = F.array_join(F.filter(F.transform(F.split(F.col(f"`{context}`"), ">"), lambda s: F.trim(s)), lambda s: s != ""), " > ") if context else F.lit(None).cast("string")
     big = df.where(F.length(F.col(f"`{text}`")) > limit).select(*cols, F.col(f"`{text}`").alias("t"), ctx.alias("c"))
     kinds = {c: k for c, k in big.dtypes}
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", piece int, start int, body_start int, end int, text string, context string"

@@ -278,7 +278,7 @@ def text_evidence(snapshots: DataFrame) -> DataFrame:
                     out.append((r, h, False, rows))
             yield pd.DataFrame(out, columns=["rawdoc_id", "host", "placeholder", "lines"])
 
-    own = F.transform(F.filter(F.array("title", "page_title"), lambda x: x.isNotNull()), F.trim)
+    own = F.transform(F.filter(F.array("title", "page_title"), lambda x: x.isNotNull()), lambda x: F.trim(x))
     rows = snapshots.select("rawdoc_id", host_key(url).alias("host"), "text", own.alias("own")).where("rawdoc_id is not null and text is not null")
     return rows.mapInPandas(run, "rawdoc_id string, host string, placeholder boolean, lines array<struct<no int, kind string, weight int, line string>>")
 
