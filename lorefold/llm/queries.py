@@ -32,4 +32,23 @@ QUERIES: dict[str, Query] = {
     "p10_levels": lambda s, d: reading_level.reading_levels(t(s, d, "documents"), t(s, d, "reading_labels")),
 }
 
-ORACLE: dict[str, str] = {}
+_WHITE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_HELD = "(select * exclude (rn) from (select *, row_number() over (partition by {key} order by {at} desc) rn from {table} where {key} is not null) where rn = 1)"
+_ITEMS = _HELD.format(key="item_id", at="updated_at", table="knowledge_items")
+_LINES = (
+    "select distinct doc_id, section_index, line_no, key from (select doc_id, section_index, line_no, trim(regexp_replace(regexp_replace(lower(line), '\\p{Nd}+', '0', 'g'), '" + _WHITE + "', ' ', 'g')) as key from"
+    " (select doc_id, section_index, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) - 1 line_no from document_sections where type in ('paragraph', 'blockquote') and content is not null)) where key <> ''"
+)
+_WORDS = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"with sites as (select distinct active_doc_id doc_id, regexp_replace(regexp_extract(lower(trim(normalized_url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '^www\\.', '') site from {_ITEMS} where active_doc_id is not null and normalized_url is not null),"
+    f" lines as ({_LINES}), placed as (select l.*, site from lines l join sites s on s.doc_id = l.doc_id), hot as (select site, key from placed group by 1, 2 having count(distinct doc_id) >= 6)"
+    " select distinct p.doc_id, p.section_index, cast(p.line_no as integer) line_no from placed p join hot h on h.site = p.site and h.key = p.key",
+    "p3_found": "with parts as (select distinct doc_id, section_index, content from document_sections where content is not null), docs as (select doc_id, " + _WORDS.format(x="string_agg(content, chr(10) order by section_index)") + " w from parts group by 1),"
+    " sh as (select distinct doc_id, s from (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from docs where len(w) >= 3)), n as (select doc_id, count(*) n from sh group by 1),"
+    " c as (select a.doc_id x, b.doc_id y, count(*) k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2) select x doc_id_a, y doc_id_b from c join n p on p.doc_id = x join n q on q.doc_id = y where k >= 0.6 * (p.n + q.n - k)",
+    "p5_found": "select chunk_id from " + _HELD.format(key="chunk_id", at="updated_at", table="chunks") + " where length(text) > 2000",
+    "p9_found": "with d as (select doc_id, " + _WORDS.format(x="text") + " w from documents where text is not null), e as (select eval_id, " + _WORDS.format(x="passage") + " w from eval_items), g as (select eval_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) s from e where len(w) >= 13),"
+    " h as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) s from d where len(w) >= 13) select distinct doc_id, eval_id from h join g on g.s = h.s",
+}
