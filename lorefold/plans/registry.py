@@ -15,7 +15,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_records": lambda s, d: nested.document_records(t(s, d, "knowledge_documents")),
 }
 QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES
-ORACLE: dict[str, str] = content.ORACLE | library.ORACLE | extraction.ORACLE
+
+
+def _unwrap(x: str) -> str:
+    return f"case when json_type({x}) = 'VARCHAR' and json_valid({x} ->> '$') and json_type({x} ->> '$') in ('ARRAY', 'OBJECT', 'VARCHAR', 'NULL') then json({x} ->> '$') else {x} end"
+
+
+def _entries(source: str, keys: str, field: str) -> str:
+    """SQL for the child records of a column: (keys, i, e), nulls left out."""
+    inner = f"select {keys}, {_unwrap(field)} u from {source}"
+    lists = f"select {keys}, case json_type(u) when 'ARRAY' then json_extract(u, '$[*]') when 'OBJECT' then [u] else [] end l from ({inner})"
+    rows = f"select {keys}, unnest(l) e0, generate_subscripts(l, 1) - 1 i from ({lists})"
+    return f"(select * from (select {keys}, i, {_unwrap('e0')} e from ({rows})) where json_type(e) <> 'NULL')"
+
+
+_PLACE = "cast({} as integer) section_index, cast({} as integer) pos, cast({} as integer) subpos"
+_CHILD = lambda a, b, c: _PLACE.format(a, b, c)
+ORACLE: dict[str, str] = {
+    "p7_found": "with h as (select doc_id, arg_max(payload, written_at) p from knowledge_documents where doc_id is not null group by 1), v as (select doc_id, json(p) p0 from h where json_valid(p)), r as (select doc_id, " + _unwrap("p0") + " j from v),"
+    " root as (select doc_id, json_extract(j, '$.sections') s, json_extract(j, '$.references') f from r where json_type(j) = 'OBJECT'),"
+    " sec as (select doc_id, i si, e, json_extract(e, '$.items') it, json_extract(e, '$.assets') a from " + _entries("root", "doc_id", "s") + "), item as (select doc_id, si, i pi, e, case when json_type(e) = 'OBJECT' then json_extract(e, '$.items') end it from " + _entries("sec", "doc_id, si", "it") + "),"
+    " ref as (select doc_id, i ri, json_extract(e, '$.blocks') b from " + _entries("root", "doc_id", "f") + ")"
+    " select doc_id, 'section' kind, " + _CHILD("si", -1, -1) + " from sec union all select doc_id, 'item', " + _CHILD("si", "pi", -1) + " from item union all select doc_id, 'asset', " + _CHILD("si", "i", -1) + " from " + _entries("sec", "doc_id, si", "a")
+    + " union all select doc_id, 'subitem', " + _CHILD("si", "pi", "i") + " from " + _entries("item", "doc_id, si, pi", "it") + " union all select doc_id, 'reference', " + _CHILD(-1, "ri", -1) + " from ref union all select doc_id, 'block', " + _CHILD(-1, "ri", "i") + " from " + _entries("ref", "doc_id, ri", "b"),
+}
+ORACLE |= content.ORACLE | library.ORACLE | extraction.ORACLE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
