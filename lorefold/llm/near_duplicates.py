@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.functions.text import WORD
+from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
 SHINGLE, SIMILARITY = 3, 0.6
@@ -72,16 +73,29 @@ def document_texts(sections: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_set("s").alias("all")).select("doc_id", F.array_join(parts, "\n").alias("text"))
 
 
-def word_table(texts: DataFrame) -> DataFrame:
-    """(id, doc_id, words): the hashes of each document's words, written once so that ids are stable."""
+def word_table(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, doc_id, words, copy): the hashes of each document's words and the fingerprint of its set of
+    shingles, written once so that ids are stable. Documents without a shingle are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "words": [np.fromiter(map(known.__getitem__, WORD.findall(t)), np.int64) for t in b["text"]]})
+            rows = []
+            for d, t in zip(b["doc_id"], b["text"]):
+                w = np.fromiter(map(known.__getitem__, WORD.findall(t)), np.int64)
+                if len(w) >= size:
+                    rows.append((d, w, xxhash.xxh3_128_digest(shingles(w, size).tobytes())))
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "copy"])
+
+    hashed = texts.mapInPandas(run, "doc_id string, words array<bigint>, copy binary")
+    return materialise(hashed.select(F.monotonically_increasing_id().alias("id"), "doc_id", "words", "copy"), "words")
 
-    hashed = texts.mapInPandas(run, "doc_id string, words array<bigint>")
-    return materialise(hashed.select(F.monotonically_increasing_id().alias("id"), "doc_id", "words"), "words")
+
+def copy_classes(words: DataFrame) -> DataFrame:
+    """(rep, id): the members, the representative among them, of the classes of documents with one and
+    the same set of shingles. Classes of one are left out."""
+    classes = words.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("copy", "rep")
+    return materialise(salted_lookup(words.select("id", "copy"), classes, ["copy"], ["id"]).select("rep", "id"), "copies")
 
 
 def populations(words: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, int, int]:
@@ -278,17 +292,33 @@ def similar_ids(words: DataFrame, similarity: float = SIMILARITY, size: int = SH
     return both.select("a", "b", "wa", "wb").mapInPandas(verify, "a bigint, b bigint, similarity double")
 
 
+def similar_classes(sections: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, members, pairs): the documents, the classes of copies as (rep, id), and the pairs (a, b,
+    similarity) between representatives. Copies never meet in a region."""
+    words = word_table(document_texts(sections), size)
+    members = copy_classes(words)
+    single = words.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    return words, members, materialise(similar_ids(single, similarity, size), "pairs")
+
+
 def similar_documents(sections: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """(doc_id_a, doc_id_b, similarity): all pairs, doc_id_a < doc_id_b, at least that similar.
+    """(doc_id_a, doc_id_b, similarity): all pairs, doc_id_a < doc_id_b, at least that similar, copies
+    written out.
 
     Documents with fewer words than a shingle have no set and no pair. Repeated rows count once; null
-    ids and contents are not read, very long documents are taken whole. Exact copies are pairs of
-    similarity 1. Empty tables give an empty result; columns other than doc_id, section_index
-    and content are not read."""
-    words = word_table(document_texts(sections))
-    found = similar_ids(words, similarity, size)
+    ids and contents are not read, very long documents are taken whole. Copies are pairs of
+    similarity 1; where they are many, near_duplicate_groups gives the same links without writing out
+    pairs. Empty tables give an empty result; columns other than doc_id, section_index and content
+    are not read."""
+    words, members, pairs = similar_classes(sections, similarity, size)
+    others = members.where("id <> rep")
+    sides = pairs
+    for side in ("a", "b"):
+        copies = sides.join(others.select(F.col("rep").alias(side), F.col("id").alias("_id")), side).withColumn(side, F.col("_id")).select("a", "b", "similarity")
+        sides = sides.unionByName(copies)
+    within = members.select("rep", F.col("id").alias("a")).join(members.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     name = words.select("id", "doc_id")
-    named = found.join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
+    named = sides.unionByName(within).join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
     return named.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"), "similarity")
 
 
@@ -321,7 +351,18 @@ def connected_groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b",
 
 
 def near_duplicate_groups(sections: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """Groups of near-duplicate documents with each document's number of links."""
-    return connected_groups(similar_documents(sections, similarity, size))
-
-
+    """(doc_id, group_id, copies, links): every document with a near duplicate; its group, named by the
+    least doc_id, the size of its class of copies and its number of links, copies included. Links
+    between classes are counted by their sizes, never written out."""
+    words, members, pairs = similar_classes(sections, similarity, size)
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    weighed = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("outer"))
+    classes = weighed.join(sizes, "rep", "full").select("rep", F.coalesce("n", F.lit(1)).alias("copies"), (F.coalesce("outer", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links"))
+    roots = connected_groups(pairs, "a", "b").select(F.col("doc_id").alias("rep"), F.col("group_id").alias("root"))
+    classes = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rep_of = words.select("id", "doc_id").join(members, "id", "left").select("doc_id", "id", F.coalesce("rep", "id").alias("rep"))
+    rows = salted_lookup(rep_of, classes, ["rep"], ["id"])
+    rows = materialise(rows.select("doc_id", "id", "root", "copies", "links"), "grouped")
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    return salted_lookup(rows, names, ["root"], ["id"]).select("doc_id", "group_id", "copies", "links")

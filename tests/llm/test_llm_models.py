@@ -233,6 +233,29 @@ def test_groups(spark):
     assert nd.connected_groups(pairs.limit(0)).count() == 0
 
 
+def test_copies_are_counted_without_their_pairs(spark):
+    r = random.Random(11)
+    docs = edited_docs(25, r, 40)
+    docs |= {f"copy{i}": docs["d0"] for i in range(6)} | {f"same{i}": ["alpha beta gamma delta epsilon"] for i in range(4)}
+    want = brute(docs, 0.6, 3)
+    pairs = nd.similar_documents(sections(spark, docs)).collect()
+    assert {(x.doc_id_a, x.doc_id_b) for x in pairs} == want and len(pairs) == len(want)
+    parent = {d: d for d in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {x.doc_id: (x.group_id, x.links) for x in nd.near_duplicate_groups(sections(spark, docs)).collect()}
+    assert got == {d: (find(d), n) for d, n in links.items()}
+
+
 def test_pairs_of_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, section_index int, content string")
     assert nd.similar_documents(empty).count() == 0
