@@ -178,8 +178,12 @@ def placements(words: DataFrame, table: np.ndarray, regions: int, similarity: fl
                 sketch = parity_sketch(s, bits).tobytes()
                 level = q[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[: window(n, similarity)]
+                # a pivot counted once in all its slot is in no other record: nobody can be met there
+                place = np.flatnonzero(level[order] > 0).astype(np.int32)
+                order = order[place]
+                if not len(order):
+                    continue
                 pivot, level = s[order], level[order]
-                place = np.arange(len(pivot), dtype=np.int32)
                 share = np.zeros(len(pivot), np.uint64)
                 own = np.ones(len(pivot), bool)
                 if level[-1] >= populous:
