@@ -74,8 +74,8 @@ def document_texts(sections: DataFrame) -> DataFrame:
 
 
 def word_table(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, doc_id, words, copy): the hashes of each document's words and the fingerprint of its set of
-    shingles, written once so that ids are stable. Documents without a shingle are left out."""
+    """(id, doc_id, words, copy): the hashes of each document's words and their fingerprint, written once so
+    that ids are stable. Documents without a shingle are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -84,7 +84,7 @@ def word_table(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
             for d, t in zip(b["doc_id"], b["text"]):
                 w = np.fromiter(map(known.__getitem__, WORD.findall(t)), np.int64)
                 if len(w) >= size:
-                    rows.append((d, w, xxhash.xxh3_128_digest(shingles(w, size).tobytes())))
+                    rows.append((d, w, xxhash.xxh3_128_digest(w.tobytes())))
             yield pd.DataFrame(rows, columns=["doc_id", "words", "copy"])
 
     hashed = texts.mapInPandas(run, "doc_id string, words array<bigint>, copy binary")
@@ -93,7 +93,7 @@ def word_table(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def copy_classes(words: DataFrame) -> DataFrame:
     """(rep, id): the members, the representative among them, of the classes of documents with one and
-    the same set of shingles. Classes of one are left out."""
+    the same sequence of words. Classes of one are left out."""
     classes = words.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("copy", "rep")
     return materialise(salted_lookup(words.select("id", "copy"), classes, ["copy"], ["id"]).select("rep", "id"), "copies")
 
