@@ -51,6 +51,8 @@ _SIDE_LINE = re.compile(
     r"|^(?:subscribe|sign up|newsletter)\b|cookies?\b|^©|^\(c\)\s|copyright|all rights reserved|^(?:imprint|impressum|mentions légales|aviso legal|版权声明)\b",
     re.IGNORECASE,
 )
+_AD_LABEL = re.compile(r"^(?:advertisement|anzeige|werbung|publicité|publicidad|publicidade|广告|sponsored)\W*$", re.IGNORECASE)
+_OWN_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 li pre blockquote figcaption dt dd".split())
 _BULLET = re.compile(r"^\s*(?:[•·▪◦*–—-]|\d{1,3}[.)])\s+")
 _SPACE = re.compile(r"\s+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -235,6 +237,7 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
     title = _SPACE.sub(" ", title).strip() if title else None
     page = Page(source) if source else None
     chosen: list[int] = []
+    tags: dict[int, str] = {}
     if page is not None and page.text and len("".join(page.text)) * 3 >= len(text):
         kept = main_blocks(page, title)
         where: dict[str, list[int]] = {}
@@ -250,6 +253,7 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
                 at = next((i for i in range(pointer, min(pointer + 4, len(page.text))) if key.startswith(_key(page.text[i])) or _key(page.text[i]).startswith(key)), None)
             if at is not None:
                 pointer = at + (1 if key == _key(page.text[at]) else 0)
+                tags[no] = page.tag[page.block_node[at]]
                 marks.append((no, kept[at]))
             else:
                 marks.append((no, None))
@@ -266,19 +270,37 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
         if start is None:
             return []
         chosen = [i for i in range(start, len(lines)) if lines[i].strip()]
+    # what follows a header of comments or other pages is not the article; a header may stand before
+    # the article in the order of the source, so only those behind its title count, if it is kept
+    start = next((no for no in chosen if title and _clean(lines[no]) == title), None)
+    if start is None and page is not None and page.title_at >= 0:
+        heading = next((_key(t) for at, t in zip(page.block_node, page.text) if at == page.title_at), None)
+        start = next((no for no in chosen if _key(_clean(lines[no])) == heading), None)
+    end = next((no for no in range(0 if start is None else start + 1, len(lines)) if len(lines[no]) < 90 and _TRAILER.search(_clean(lines[no]))), len(lines))
+    # the headline behind an advertisement's label belongs to it
+    shown = [no for no, line in enumerate(lines) if line.strip()]
+    promoted = {b for a, b in zip(shown, shown[1:]) if _AD_LABEL.match(_clean(lines[a])) and tags.get(b) not in _OWN_BLOCKS and _headline(_clean(lines[b]))}
     out, weight = [], 0
     for no in chosen:
-        s = _INVISIBLE.sub("", lines[no]).strip()
-        if _TRAILER.search(s) and len(s) < 90 and out:
+        if no >= end:
             break
-        if side_line(s):
+        s = _clean(lines[no])
+        if side_line(s) or no in promoted:
             continue
         out.append(no)
         if weight < 2 and evidence(s) is None and not has_placeholder(s):
-            weight += 2 if s == title else article_weight(s)
+            weight += 2 if no == start else article_weight(s)
     return out if weight >= 2 else []
 
 
+def _headline(line: str) -> bool:
+    return len(line) < 90 and "\t" not in line and not _BULLET.match(line) and not re.search(r"[.!?…。！？;:{}()=]$", line)
+
+
+def _clean(line: str) -> str:
+    return _INVISIBLE.sub("", line).strip()
+
+
 def _key(line: str) -> str:
     return _SPACE.sub(" ", _BULLET.sub("", line)).strip()
 
