@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.functions.text import host_key
-from lorefold.llm.template_residue import _TRAILER, article_weight, evidence, has_placeholder, masked, page_keys, page_lines, site_name
+from lorefold.llm.template_residue import _BYLINE, _FURNITURE, _TRAILER, article_weight, evidence, has_placeholder, masked, page_keys, page_lines, site_name
 from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
@@ -267,6 +267,8 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
                 chosen.append(no)
     else:
         start = next((i for i, s in enumerate(lines) if title and s.strip() == title), None)
+        if start is None:
+            start = _untitled_start(lines)
         if start is None:
             return []
         chosen = [i for i in range(start, len(lines)) if lines[i].strip()]
@@ -293,6 +295,21 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
     return out if weight >= 2 else []
 
 
+def _untitled_start(lines: list[str]) -> int | None:
+    """Where an article begins whose title is not known: at the first line of prose or byline, or the
+    heading-like lines right above it."""
+    shown = [no for no, line in enumerate(lines) if line.strip()]
+    weights = [0 if evidence(s) or has_placeholder(s) or (side_line(s) and article_weight(s) < 2) else article_weight(s) for s in (_clean(lines[no]) for no in shown)]
+    first = next((i for i, w in enumerate(weights) if w == 2), None)
+    if first is None or any(_TRAILER.search(_clean(lines[no])) for no in shown[:first]):
+        return None
+    if first and _BYLINE.match(_clean(lines[shown[first]])) and _headline(_clean(lines[shown[first - 1]])) and not _FURNITURE.search(lines[shown[first - 1]]) and not re.search(r"\S\s{2,}\S", lines[shown[first - 1]]):
+        first -= 1  # the title right above a byline may be short
+    while first and weights[first - 1] == 1:
+        first -= 1
+    return shown[first]
+
+
 def _headline(line: str) -> bool:
     return len(line) < 90 and "\t" not in line and not _BULLET.match(line) and not re.search(r"[.!?…。！？;:{}()=]$", line)
 

@@ -25,9 +25,9 @@ from lorefold.functions.text import host_key, line_key
 from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
-# A line is boilerplate if it stands on MIN_PAGES pages of its host, or, with the site's own name
-# masked, on pages of MIN_HOSTS hosts.
-MIN_PAGES, MIN_HOSTS = 4, 10
+# A line is boilerplate if it stands on MIN_PAGES pages of its host and MIN_SHARE of them, or, with the
+# site's own name masked, on pages of MIN_HOSTS hosts.
+MIN_PAGES, MIN_SHARE, MIN_HOSTS = 4, 0.01, 10
 
 # Names that template fields usually have.
 FIELDS = (
@@ -98,7 +98,9 @@ _TRAILER = re.compile(
     r"|à lire aussi|autres? notes?\b|plus de\b|\d+ commentaires?$|répondre|también le puede|más (?:de|notas)\b|otras notas\b|\d+ comentarios?$|responder|leia também|outras notas\b|mais (?:de|do|da|notas)\b|\d+ comentários?$|相关阅读|更多|\d+\s*条评论|发表回复|.{0,60}的更多文章)",
     re.IGNORECASE,
 )
-_FURNITURE = re.compile(r"cookie|©|\(c\) ?\d{4}|copyright|all rights|newsletter|subscribe|\s[|·•/]\s.*\s[|·•/]\s|partner.{0,30}(?:ger[äa]t|device|appareil|dispositivo)|skip to", re.IGNORECASE)
+_FURNITURE = re.compile(r"cookie|©|\(c\) ?\d{4}|copyright|all rights|newsletter|subscribe|\s[|·•/]\s.*\s[|·•/]\s|partner.{0,30}(?:ger[äa]t|device|appareil|dispositivo)|^(?:skip to|zum inhalt|aller au contenu|saltar al|ir para o|back to top|nach oben|haut de page|volver arriba|voltar ao topo)\b", re.IGNORECASE)
+# How bylines with a date begin.
+_BYLINE = re.compile(r"^(?:by|von|par|por|作者)\s\S.{1,58}\b(?:19|20)\d\d\b", re.IGNORECASE)
 # What a line of an article has at least, in characters; a character of Chinese, Japanese or Korean counts as three.
 PROSE = 60
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -171,9 +173,11 @@ def _message(s: str) -> str | None:
 
 
 def article_weight(line: str) -> int:
-    """How much a line speaks for an article: 2 a line of prose, 1 a heading-like line of several
-    words, 0 anything else. Two together make an article."""
+    """How much a line speaks for an article: 2 a line of prose or a byline, 1 a heading-like line of
+    several words, 0 anything else. Two together make an article."""
     s = line.strip()
+    if _BYLINE.match(s):
+        return 2
     if _FURNITURE.search(s):
         return 0
     wide = len(_WIDE.findall(s))
@@ -289,14 +293,16 @@ def text_cases(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_hosts: int
     pages and comments."""
     found = materialise(text_evidence(snapshots), "evidence")
     counts = materialise(line_counts(snapshots), "line-counts")
-    by_host = counts.where(F.col("pages") >= min_pages).select("host", "key", F.lit(True).alias("here"))
+    pages = page_keys(snapshots).distinct().groupBy("host").agg(F.count("*").alias("all"))
+    by_host = counts.where(F.col("pages") >= min_pages).join(pages, "host").where(F.col("pages") >= F.col("all") * MIN_SHARE).select("host", "key", F.lit(True).alias("here"))
     everywhere = counts.groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts).select("key", F.lit(True).alias("there"))
     lines = found.where("not placeholder").select("rawdoc_id", "host", F.explode("lines").alias("l"))
     trailer = lines.where("l.kind = 'trailer'").groupBy("rawdoc_id").agg(F.min("l.no").alias("trailer"))
-    weighed = lines.where("l.weight > 0").select("rawdoc_id", "host", F.col("l.no").alias("no"), F.col("l.weight").alias("weight"), F.xxhash64(masked(F.col("l.line"), site_name(F.col("host")))).alias("key"))
+    weighed = lines.where("l.weight > 0").select("rawdoc_id", "host", F.col("l.no").alias("no"), F.col("l.weight").alias("weight"), masked(F.col("l.line"), site_name(F.col("host"))).alias("masked")).withColumn("named", F.contains("masked", F.lit("@"))).withColumn("key", F.xxhash64("masked")).drop("masked")
     marked = salted_lookup(weighed, by_host, ["host", "key"], ["rawdoc_id"], how="left")
+    # a short heading may stand on many sites by chance: there it is boilerplate only if it names the site
     marked = salted_lookup(marked, everywhere, ["key"], ["rawdoc_id"], how="left").join(trailer, "rawdoc_id", "left")
-    left = marked.where("here is null and there is null and (trailer is null or no < trailer)")
+    left = marked.where("here is null and (there is null or (weight = 1 and not named)) and (trailer is null or no < trailer)")
     articles = left.groupBy("rawdoc_id").agg(F.sum("weight").alias("weight")).where("weight >= 2").select("rawdoc_id")
     return found.where("placeholder").select("rawdoc_id").unionByName(found.where("not placeholder").select("rawdoc_id").join(articles, "rawdoc_id", "left_anti")).distinct()
 

@@ -59,7 +59,8 @@ def test_main_lines():
     shell = '<html><body><div id="root"></div></body></html>'
     assert main_content.main_lines(shell, TEXT, "The title")[:4] == [2, 5, 6, 7]
     assert main_content.main_lines(shell, "HTTP 404", "The title") == []
-    assert main_content.main_lines(None, TEXT, None) == []
+    assert main_content.main_lines(None, TEXT, None)[:4] == [2, 5, 6, 7]
+    assert main_content.main_lines(shell, "Home\nPlease turn on JavaScript.\nMore from Site\n" + LONG, None) == []
     assert main_content.main_lines("<div><p>HTTP 404<p>We could not find that page.</div>", "HTTP 404\nWe could not find that page.", None) == []
     assert main_content.main_lines("<b" * 50, "x", None) == []
 
@@ -68,7 +69,7 @@ def test_main_content_in_tables(spark):
     rows = [("a", 0, "The title", HTML, TEXT), ("a", 0, "The title", HTML, TEXT), ("b", 0, None, HTML, None), ("c", 0, None, None, ""), ("d", 0, None, "", LONG)]
     snaps = page(spark, rows)
     got = {(r.rawdoc_id, r.line_no) for r in main_content.main_content(snaps).collect()}
-    assert got == {("a", n) for n in (2, 5, 6, 7, 10, 12, 13, 14, 15, 16, 17)}
+    assert got == {("a", n) for n in (2, 5, 6, 7, 10, 12, 13, 14, 15, 16, 17)} | {("d", 0)}
     assert main_content.main_content(snaps.limit(0)).count() == 0
 
 
