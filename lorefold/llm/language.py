@@ -52,6 +52,30 @@ def label_language(label: str | None) -> str | None:
     return _BY_NAME.get(base)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+_BLANK = re.compile(rb"\xe3\x80\x80|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xef\xbb\xbf|\xc2[\xa0\xad]")
+_NAME = re.compile(rb"(?<=[a-z,;0-9] )[A-Z](?:[A-Za-z0-9'-]|\xc3[\x80-\xbf])*")
+
+
+def without_names(raw: bytes) -> bytes:
+    """The text with odd and invisible spaces and capitalised words inside sentences blanked, its length
+    kept. Names may be made of any language's words; German nouns go too, its small words stay."""
+    if not raw.isascii():
+        raw = _BLANK.sub(lambda m: b" " * len(m.group()), raw)
+    return _NAME.sub(lambda m: b"\0" * len(m.group()), raw)
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Bytes with the capital letters of ASCII and Latin-1, as UTF-8 spells them, made small."""
+    out = _LOWER[data]
+    marked = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    out[marked] += 32
+    return out
+
+
 @dataclass
 class Network:
     """Weights. filters: one (width * DIM, FILTERS) matrix per width."""
@@ -93,14 +117,15 @@ class Network:
 
 
 def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 128, rate: float = 0.004, seed: int = 7) -> Network:
-    """Fit the network on windows cut at random from the labelled texts; classes are drawn alike,
-    digits and capitalised words are blotted out at random so that names do not decide."""
+    """Fit the network on windows cut at random from the labelled texts; classes are drawn alike. Digits and
+    capitalised words are blotted out and words of other languages put in at random, so that names,
+    which may be made of any language's words, do not decide."""
     rng = np.random.default_rng(seed)
     size, classes = BLOCK * BLOCKS, len(LANGUAGES)
     pools: list[list[bytes]] = [[] for _ in LANGUAGES]
     for t, label in zip(texts, labels):
         if t and label in LANGUAGES:
-            pools[LANGUAGES.index(label)].append(t.encode())
+            pools[LANGUAGES.index(label)].append(without_names(t.encode()))
     present = [i for i, p in enumerate(pools) if p]
     widest, k_out = max(WIDTHS), len(WIDTHS) * FILTERS
     p = {"embed": rng.normal(0, 0.3, (256, DIM)), "out": rng.normal(0, 0.1, (k_out, classes)), "bias": np.zeros(k_out), "out_bias": np.zeros(classes)}
@@ -120,7 +145,15 @@ def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 1
                 piece = re.sub(rb"\d+", b"0", piece)
             if c != LANGUAGES.index("zh") and rng.random() < 0.3:
                 piece = re.sub(rb"[A-Z][a-z]+", b"N", piece)
-            x[i, : len(piece)] = np.frombuffer(piece, np.uint8)
+            if rng.random() < 0.5:
+                other = pools[present[int(rng.integers(len(present)))]]
+                words = other[int(rng.integers(len(other)))].split()
+                first = int(rng.integers(len(words)))
+                name = b" ".join(words[first : first + int(rng.integers(1, 4))])[:24]
+                spot = int(rng.integers(len(piece) + 1))
+                spot = piece.rfind(b" ", 0, spot) + 1 if c != LANGUAGES.index("zh") else spot - spot % 3
+                piece = (piece[:spot] + name + b" " + piece[spot:])[:size]
+            x[i, : len(piece)] = fold_case(np.frombuffer(piece, np.uint8))
         e = p["embed"][x]
         grads = {}
         feats, args, spans = [], [], []
@@ -201,8 +234,8 @@ def segment_batch(net: Network, texts: list[str]) -> list[list[tuple[int, int, s
     data = np.zeros(sum(padded), np.uint8)
     starts = np.concatenate([[0], np.cumsum(padded)])
     for r, at in zip(raw, starts):
-        data[at : at + len(r)] = np.frombuffer(r, np.uint8)
-    pooled = net.features(data)
+        data[at : at + len(r)] = np.frombuffer(without_names(r), np.uint8)
+    pooled = net.features(fold_case(data))
     owner = np.repeat(np.arange(len(raw)), np.array(padded) // BLOCK)
     windows = pooled.copy()
     for i in range(1, BLOCKS):
