@@ -70,18 +70,6 @@ def _dedupe_order(s, d):  # noqa: ANN001, ANN202
     return unique.select("job", "item_id", (F.row_number().over(W.partitionBy("job").orderBy("created_at", "item_id")) - 1).alias("order_index"))
 
 
-def _html_metadata(s, d):  # noqa: ANN001, ANN202
-    html = F.col("html")
-    pick = lambda pattern: F.nullif(tx.normalize_inline(F.regexp_extract(html, pattern, 1)), F.lit(""))
-    rows = t(s, d, "page_snapshots").where("html is not null").select("rawdoc_id", "html").distinct()
-    return rows.select(
-        "rawdoc_id",
-        F.coalesce(pick(r"(?is)<title[^>]*>(.*?)</title>"), pick(r"(?is)<meta[^>]+property=[\"']og:title[\"'][^>]+content=[\"']([^\"']*)[\"']")).alias("title"),
-        F.coalesce(pick(r"(?is)<link[^>]+rel=[\"']?canonical[\"']?[^>]+href=[\"']?([^\"'\s>]*)"), pick(r"(?is)<meta[^>]+property=[\"']og:url[\"'][^>]+content=[\"']([^\"']*)[\"']")).alias("canonical"),
-        pick(r"(?is)<html[^>]+lang=[\"']?([^\"'\s>]*)").alias("lang"),
-    )
-
-
 QUERIES = {
     "url_normalize": lambda s, d: _url_rows(s, d).select("url", u.normalize_url(F.col("url")).alias("normalized")),
     "url_identity": lambda s, d: _url_rows(s, d).select("url", F.concat(F.lit("url:sha256:"), u.url_hash(u.normalize_url(F.col("url")))).alias("item_id")),
@@ -89,7 +77,6 @@ QUERIES = {
     "url_alias_probe": lambda s, d: store.probe_urls(_url_rows(s, d).withColumn("normalized", u.normalize_url(F.col("url"))), v.aliases(s, d)),
     "batch_discover": _discover,
     "batch_dedupe_order": _dedupe_order,
-    "html_metadata_regex": _html_metadata,
     "section_ids": lambda s, d: sec.section_ids(v.sections(s, d)).select("doc_id", "idx", "section_id"),
     "sections_dedupe_adjacent": lambda s, d: sec.drop_adjacent_repeats(v.sections(s, d)).select("doc_id", "idx", "type"),
     "section_stats": lambda s, d: sec.document_statistics(v.sections(s, d)),

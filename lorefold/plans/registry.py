@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorefold.operators import nested
-from lorefold.plans import content, extraction, library
+from lorefold.plans import content, details, extraction, library
 from lorefold.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": lambda s, d: nested.record_places(nested.document_records(t(s, d, "knowledge_documents"), with_fields=False)),
     "p7_records": lambda s, d: nested.document_records(t(s, d, "knowledge_documents")),
 }
-QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES
+QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES | details.QUERIES
 
 
 def _unwrap(x: str) -> str:
@@ -39,7 +39,7 @@ ORACLE: dict[str, str] = {
     " select doc_id, 'section' kind, " + _CHILD("si", -1, -1) + " from sec union all select doc_id, 'item', " + _CHILD("si", "pi", -1) + " from item union all select doc_id, 'asset', " + _CHILD("si", "i", -1) + " from " + _entries("sec", "doc_id, si", "a")
     + " union all select doc_id, 'subitem', " + _CHILD("si", "pi", "i") + " from " + _entries("item", "doc_id, si, pi", "it") + " union all select doc_id, 'reference', " + _CHILD(-1, "ri", -1) + " from ref union all select doc_id, 'block', " + _CHILD(-1, "ri", "i") + " from " + _entries("ref", "doc_id, ri", "b"),
 }
-ORACLE |= content.ORACLE | library.ORACLE | extraction.ORACLE
+ORACLE |= content.ORACLE | library.ORACLE | extraction.ORACLE | details.ORACLE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
