@@ -274,9 +274,10 @@ def similar_ids(words: DataFrame, similarity: float = SIMILARITY, size: int = SH
     spark = words.sparkSession
     # a record is in about one region per pivot of its window; each placement carries its sketch
     volume = total * (1 - similarity) * 8 + min(docs * 64, total) * 60
-    regions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / REGION_BYTES))
+    regions = max(spark.sparkContext.defaultParallelism, math.ceil(volume / REGION_BYTES))
     placed = placements(words, table, regions, similarity, size)
-    pairs = placed.repartition(regions, "region").groupBy("region").applyInPandas(lambda pdf: join_region(pdf, similarity), "a bigint, b bigint")
+    # more partitions than regions, so that few regions share one by their hashes
+    pairs = placed.repartition(4 * regions, "region").groupBy("region").applyInPandas(lambda pdf: join_region(pdf, similarity), "a bigint, b bigint")
     pairs = materialise(pairs.distinct(), "candidates")
     sets = words.select("id", "words")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
