@@ -45,10 +45,9 @@ _SIDE = re.compile(
 )
 # Beginnings and forms of side lines, in the corpus' languages.
 _SIDE_LINE = re.compile(
-    r"^(?:by|von|par|por|de|written by|posted by|作者)[\s:：].{1,60}\d{4}"
-    r"|^(?:share|teilen|partager|compartir|partilhar|分享)\s*[:：]|^(?:advertisement|anzeige|werbung|publicité|publicidad|publicidade|广告|sponsored)\W*$"
+    r"^(?:share|teilen|partager|compartir|partilhar|分享)\s*[:：]|^(?:advertisement|anzeige|werbung|publicité|publicidad|publicidade|广告|sponsored)\W*$"
     r"|^(?:skip to|zum inhalt|aller au contenu|saltar al|ir para o|跳到)|^(?:back to top|nach oben|haut de page|volver arriba|voltar ao topo|返回顶部)\W*$"
-    r"|^(?:subscribe|sign up|newsletter)\b|cookies?\b|^©|^\(c\)\s|copyright|all rights reserved|^(?:imprint|impressum|mentions légales|aviso legal|版权声明)\b",
+    r"|^(?:subscribe|sign up|newsletter)\b|\bcookies?\b.{0,80}(?:accept|aceptar|aceitar|accepter|akzeptieren|choose|接受)|(?:we use|agree to|usamos|utilisons|verwenden|utiliza|使用).{0,40}cookie|^©|^\(c\)\s|^copyright|all rights reserved|^(?:imprint|impressum|mentions légales|aviso legal|版权声明)\b",
     re.IGNORECASE,
 )
 _AD_LABEL = re.compile(r"^(?:advertisement|anzeige|werbung|publicité|publicidad|publicidade|广告|sponsored)\W*$", re.IGNORECASE)
@@ -228,7 +227,7 @@ def _side_ancestor_kept(page: Page, at: int, keep: set[int], side: list[bool]) -
 
 def side_line(line: str) -> bool:
     """Byline, sharing, notice, advertisement, legal or skip line."""
-    return len(line) < 200 and bool(_SIDE_LINE.search(line))
+    return len(line) < 200 and bool(_SIDE_LINE.search(line) or _BYLINE.match(line))
 
 
 def main_lines(source: str | None, text: str, title: str | None = None) -> list[int]:

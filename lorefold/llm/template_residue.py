@@ -100,7 +100,7 @@ _TRAILER = re.compile(
 )
 _FURNITURE = re.compile(r"cookie|©|\(c\) ?\d{4}|copyright|all rights|newsletter|subscribe|\s[|·•/]\s.*\s[|·•/]\s|partner.{0,30}(?:ger[äa]t|device|appareil|dispositivo)|^(?:skip to|zum inhalt|aller au contenu|saltar al|ir para o|back to top|nach oben|haut de page|volver arriba|voltar ao topo)\b", re.IGNORECASE)
 # How bylines with a date begin.
-_BYLINE = re.compile(r"^(?:by|von|par|por|作者)\s\S.{1,58}\b(?:19|20)\d\d\b", re.IGNORECASE)
+_BYLINE = re.compile(r"^(?=.*\b(?:19|20)\d\d(?:\b|年))(?:by|von|par|por|written by|posted by|作者)[\s:：]+[^\W\d][^\d\n]{0,50}\d[^\n]{0,24}$", re.IGNORECASE)
 # What a line of an article has at least, in characters; a character of Chinese, Japanese or Korean counts as three.
 PROSE = 60
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
