@@ -322,19 +322,20 @@ def _key(line: str) -> str:
 
 
 def candidate_lines(snapshots: DataFrame) -> DataFrame:
-    """(rawdoc_id, host, line_no, line): lines that tree scoring keeps."""
+    """(rawdoc_id, host, line_no, line, is_title): lines that tree scoring keeps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r, h, s, t, ti in zip(b["rawdoc_id"], b["host"], b["html"], b["text"], b["title"]):
                 lines = t.split("\n")
-                out += [(r, h, no, lines[no]) for no in main_lines(s, t, ti)]
-            yield pd.DataFrame(out, columns=["rawdoc_id", "host", "line_no", "line"])
+                name = _SPACE.sub(" ", ti).strip() if ti else None
+                out += [(r, h, no, lines[no], _clean(lines[no]) == name) for no in main_lines(s, t, ti)]
+            yield pd.DataFrame(out, columns=["rawdoc_id", "host", "line_no", "line", "is_title"])
 
     url = F.coalesce("page_url", "canonical_url")
     rows = snapshots.select("rawdoc_id", host_key(url).alias("host"), "html", "text", "title").where("rawdoc_id is not null and text is not null")
-    return rows.mapInPandas(run, "rawdoc_id string, host string, line_no int, line string")
+    return rows.mapInPandas(run, "rawdoc_id string, host string, line_no int, line string, is_title boolean")
 
 
 def site_boilerplate(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_hosts: int = MIN_HOSTS) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +360,7 @@ def main_content(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     other than those named here are not read."""
     found = candidate_lines(snapshots)
     here, there = site_boilerplate(snapshots, min_pages, min_share, min_hosts)
-    keyed = found.select("rawdoc_id", "host", "line_no", "line", site_name(F.col("host")).alias("name")).select("rawdoc_id", "host", "line_no", F.xxhash64(masked(F.col("line"), F.col("name"))).alias("key"))
+    keyed = found.select("rawdoc_id", "host", "line_no", "is_title", "line", site_name(F.col("host")).alias("name")).select("rawdoc_id", "host", "line_no", "is_title", F.xxhash64(masked(F.col("line"), F.col("name"))).alias("key"))
     marked = salted_lookup(keyed, here.withColumn("here", F.lit(True)), ["host", "key"], ["rawdoc_id"], how="left")
     marked = salted_lookup(marked, there.withColumn("there", F.lit(True)), ["key"], ["rawdoc_id"], how="left")
-    return marked.where("here is null and there is null").select("rawdoc_id", "line_no").distinct()
+    return marked.where("is_title or (here is null and there is null)").select("rawdoc_id", "line_no").distinct()
