@@ -334,7 +334,7 @@ def candidate_lines(snapshots: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["rawdoc_id", "host", "line_no", "line", "is_title"])
 
     url = F.coalesce("page_url", "canonical_url")
-    rows = snapshots.select("rawdoc_id", host_key(url).alias("host"), "html", "text", "title").where("rawdoc_id is not null and text is not null")
+    rows = snapshots.select("rawdoc_id", F.coalesce(host_key(url), F.lit("")).alias("host"), "html", "text", "title").where("rawdoc_id is not null and text is not null")
     return rows.mapInPandas(run, "rawdoc_id string, host string, line_no int, line string, is_title boolean")
 
 

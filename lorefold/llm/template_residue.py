@@ -236,7 +236,7 @@ def page_keys(snapshots: DataFrame, *more: str) -> DataFrame:
     """(host, page, ...) of each capture; captures of one address have one page."""
     url = F.coalesce("page_url", "canonical_url")
     page = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
-    return snapshots.select(host_key(url).alias("host"), F.xxhash64(page).alias("page"), *more)
+    return snapshots.select(F.coalesce(host_key(url), F.lit("")).alias("host"), F.xxhash64(page).alias("page"), *more)
 
 
 def page_lines(snapshots: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def text_evidence(snapshots: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["rawdoc_id", "host", "placeholder", "lines"])
 
     own = F.transform(F.filter(F.array("title", "page_title"), lambda x: x.isNotNull()), lambda x: F.trim(x))
-    rows = snapshots.select("rawdoc_id", host_key(url).alias("host"), "text", own.alias("own")).where("rawdoc_id is not null and text is not null")
+    rows = snapshots.select("rawdoc_id", F.coalesce(host_key(url), F.lit("")).alias("host"), "text", own.alias("own")).where("rawdoc_id is not null and text is not null")
     return rows.mapInPandas(run, "rawdoc_id string, host string, placeholder boolean, lines array<struct<no int, kind string, weight int, line string>>")
 
 

@@ -81,3 +81,11 @@ def test_lines_that_recur_on_a_site_are_left_out(spark):
         rows.append((f"r{i}", 5, t, body.format(t=t, p=p), f"{t}\n{p}\n{p} {t}.\nWords of the Site house on each page"))
     got = {(r.rawdoc_id, r.line_no) for r in main_content.main_content(page(spark, rows)).collect()}
     assert got == {(f"r{i}", n) for i in range(8) for n in range(3)}
+
+
+def test_captures_without_a_host_are_one_host(spark):
+    furniture = "A long line of furniture that stands on all of these pages, whoever may have sent them to us"
+    rows = [(f"n{i}", None, f"c{i}", None, None, None, f"{furniture}\n{LONG} {chr(97 + i)}", "x") for i in range(5)] + [("e", None, None, None, None, None, f"{furniture}\nHTTP 404", "x")]
+    snaps = spark.createDataFrame(rows, SNAP)
+    raw = spark.createDataFrame([], "rawdoc_id string, source_uri string")
+    assert [r.rawdoc_id for r in tr.residue_cases(snaps, raw).collect()] == ["e"]
