@@ -41,10 +41,17 @@ _LINES = (
 )
 _WORDS = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
 
-ORACLE: dict[str, str] = {
-    "p2_found": f"with sites as (select distinct active_doc_id doc_id, regexp_replace(regexp_extract(lower(trim(normalized_url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '^www\\.', '') site from {_ITEMS} where active_doc_id is not null and normalized_url is not null),"
+_PLACES = (
+    f"sites as (select distinct active_doc_id doc_id, regexp_replace(regexp_extract(lower(trim(normalized_url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '^www\\.', '') site from {_ITEMS} where active_doc_id is not null and normalized_url is not null),"
     f" lines as ({_LINES}), placed as (select l.*, site from lines l join sites s on s.doc_id = l.doc_id), hot as (select site, key from placed group by 1, 2 having count(distinct doc_id) >= 6)"
-    " select distinct p.doc_id, p.section_index, cast(p.line_no as integer) line_no from placed p join hot h on h.site = p.site and h.key = p.key",
+    ", places as (select distinct p.doc_id, p.section_index, cast(p.line_no as integer) line_no from placed p join hot h on h.site = p.site and h.key = p.key)"
+)
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"with {_PLACES} select * from places",
+    "p2_clean": f"with {_PLACES}, base as (select distinct doc_id, section_index, type, content from document_sections), ln as (select doc_id, section_index, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) - 1 n from base where content is not null and type in ('paragraph', 'blockquote')),"
+    " kept as (select l.doc_id, l.section_index, string_agg(case when p.line_no is null then line end, chr(10) order by n) c from ln l left join places p on p.doc_id = l.doc_id and p.section_index = l.section_index and p.line_no = n group by 1, 2)"
+    " select b.doc_id, b.section_index, case when content is not null and type in ('paragraph', 'blockquote') then coalesce(c, '') else content end as content from base b left join kept k on k.doc_id = b.doc_id and k.section_index = b.section_index",
     "p3_found": "with parts as (select distinct doc_id, section_index, content from document_sections where content is not null), docs as (select doc_id, " + _WORDS.format(x="string_agg(content, chr(10) order by section_index)") + " w from parts group by 1),"
     " sh as (select distinct doc_id, s from (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from docs where len(w) >= 3)), n as (select doc_id, count(*) n from sh group by 1),"
     " c as (select a.doc_id x, b.doc_id y, count(*) k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2) select x doc_id_a, y doc_id_b from c join n p on p.doc_id = x join n q on q.doc_id = y where k >= 0.6 * (p.n + q.n - k)",
