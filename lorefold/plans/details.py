@@ -38,7 +38,7 @@ def _jobs(s, d):  # noqa: ANN001, ANN202
 def _list_entries(s, d):  # noqa: ANN001, ANN202
     """The reader's list: items and collections in one, the last updated first; a date that cannot be read is 1970."""
     items = v.items(s, d).select(F.lit("document").alias("kind"), F.col("item_id").alias("id"), F.unix_micros("updated_at").alias("updated_us"))
-    shelves = t(s, d, "orders").select(F.lit("collection").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.unix_micros(F.to_timestamp("o_orderdate")).alias("updated_us"))
+    shelves = t(s, d, "orders").select(F.lit("collection").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)").alias("updated_us"))
     return items.unionByName(shelves).select("kind", "id", F.coalesce("updated_us", F.lit(0)).alias("updated_us"))
 
 
