@@ -10,19 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lorefold.functions.urls import normalize_url, url_hash
 from lorefold.operators import extract
-from lorefold.operators.store import Store, replace_children, upsert
+from lorefold.operators.latest import holding_rows
+from lorefold.operators.store import Store, replace_children
 
 CAPTURE = "rawdoc_id string, page_url string, page_title string, title string, html string, text string, selection_html string, captured_at timestamp"
 
 
 def captures(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """Snapshots as they land, as JSON lines with a stated schema."""
-    return spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    """Snapshots as they land, as JSON lines with a stated schema. A file counts as new however old it is:
+    the source would leave out those a week older than the newest it has seen."""
+    return spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", "36500d").json(folder)
 
 
-def without_repeats(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Exact repeats of a capture within the watermark are dropped; state is bounded by the delay."""
-    return stream.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["rawdoc_id"])
+def without_repeats(batch: DataFrame) -> DataFrame:
+    """One row per capture of a batch, the latest; captures without an id are dropped. Repeats over
+    batches are left to the merge, which they do not change: nothing is dropped for its age."""
+    return holding_rows(batch, ["rawdoc_id"], "captured_at").select(*batch.columns)
 
 
 def parse_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,19 +35,30 @@ def parse_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = extract.select_candidates(extract.candidates(pages)).select(F.col("page_id").alias("rawdoc_id"), "method", F.col("title").alias("content_title"), "sections")
     joined = pages.select("rawdoc_id", "normalized_url", "page_title", "captured_at").join(chosen, "rawdoc_id")
     items = joined.select(F.concat(F.lit("url:sha256:"), url_hash(F.col("normalized_url"))).alias("item_id"), "normalized_url", "page_title", F.col("content_title").alias("title"), "method", F.col("rawdoc_id").alias("doc_id"), F.col("captured_at").alias("updated_at"), F.col("captured_at").alias("created_at"))
-    sections = joined.select(F.concat(F.lit("url:sha256:"), url_hash(F.col("normalized_url"))).alias("item_id"), F.col("rawdoc_id").alias("doc_id"), F.posexplode("sections").alias("idx", "s")).select("item_id", "doc_id", "idx", "s.type", "s.level", "s.content")
+    sections = joined.select(F.concat(F.lit("url:sha256:"), url_hash(F.col("normalized_url"))).alias("item_id"), F.col("rawdoc_id").alias("doc_id"), F.col("captured_at").alias("updated_at"), F.posexplode("sections").alias("idx", "s")).select("item_id", "doc_id", "updated_at", "idx", "s.type", "s.level", "s.content")
     return items, sections
 
 
+def latest_items(items: DataFrame) -> DataFrame:
+    """One row per item: that of its latest capture, with the time of its first. Of captures of one time the
+    greater doc_id holds, so the order in which they come makes no difference."""
+    others = [c for c in items.columns if c not in ("item_id", "created_at")]
+    rank = F.struct("updated_at", "doc_id", F.xxhash64(*others).alias("h"))
+    best = items.groupBy("item_id").agg(F.max_by(F.struct(*others), rank).alias("_row"), F.min("created_at").alias("created_at"))
+    return best.select(*[c if c in ("item_id", "created_at") else F.col("_row").getField(c).alias(c) for c in items.columns])
+
+
 def merge_into(store: Store) -> Callable[[DataFrame, int], None]:
-    """A sink for foreachBatch. Merging a batch again gives the same tables, so a batch that is repeated
-    after a failure does no harm."""
+    """A sink for foreachBatch. A capture older than the one an item holds leaves item and sections as they
+    are. Merging a batch again gives the same tables, so a batch that is repeated after a failure does no
+    harm."""
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        items, sections = parse_batch(batch)
+        items, sections = parse_batch(without_repeats(batch))
         old = store.read("items")
-        merged = upsert(old if old is not None else items.limit(0), items, ["item_id"], keep=["created_at"], order="updated_at")
-        current = sections.join(merged.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_semi")
+        merged = latest_items(items if old is None else old.unionByName(items))
+        held = merged.select("item_id", "doc_id", F.col("updated_at").alias("held_at"))
+        current = sections.join(held, ["item_id", "doc_id"]).where("updated_at <=> held_at").drop("updated_at", "held_at")
         before = store.read("sections")
         store.commit({"items": merged, "sections": replace_children(before, current, "item_id") if before is not None else current})
 
@@ -53,8 +67,7 @@ def merge_into(store: Store) -> Callable[[DataFrame, int], None]:
 
 def ingest(spark: SparkSession, folder: str, root: str, checkpoint: str) -> StreamingQuery:
     """Run until all files in the folder are merged; call again for new ones."""
-    stream = without_repeats(captures(spark, folder))
-    return stream.writeStream.foreachBatch(merge_into(Store(spark, root))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return captures(spark, folder).writeStream.foreachBatch(merge_into(Store(spark, root))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_progress(transitions: DataFrame, window: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:

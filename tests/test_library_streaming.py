@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -54,3 +55,23 @@ def test_stream_into_store(spark, tmp_path):
     items = {r.normalized_url: (r.doc_id, r.created_at.day, r.updated_at.day) for r in s.read("items").collect()}
     assert items == {"https://h.example/p": ("r2", 1, 2), "https://h.example/q": ("r3", 3, 3)}
     assert {r.doc_id for r in s.read("sections").collect()} == {"r2", "r3"}
+
+
+def test_stream_keeps_late_captures(spark, tmp_path):
+    """Captures and files older than those of an earlier batch are merged; an older capture of an item does
+    not take the place of a later one, nor does a repeat."""
+    landing = tmp_path / "in"
+    landing.mkdir()
+    page = lambda i, at, url: json.dumps({"rawdoc_id": i, "page_url": f"https://h.example/{url}", "title": "T", "html": f"<main><h1>T</h1><p>{f'text of {i} ' * 20}</p></main>", "captured_at": f"{at}T00:00:00.000Z"})
+    files = [[page("r1", "2025-06-01", "p")], [page("r2", "2024-06-01", "q"), page("r3", "2025-06-02", "s"), page("r4", "2024-05-01", "p")], [page("r5", "2022-04-01", "u"), page("r1", "2025-06-01", "p"), page("r2", "2024-06-01", "q")]]
+    root, checkpoint = f"file://{tmp_path}/store", f"file://{tmp_path}/cp"
+    for n, lines in enumerate(files):
+        (landing / f"{n}.json").write_text("\n".join(lines))
+        if n == 2:
+            os.utime(landing / "2.json", (1e9, 1e9))
+        ingest.ingest(spark, str(landing), root, checkpoint).awaitTermination()
+    s = Store(spark, root)
+    items = {r.normalized_url[-1]: (r.doc_id, str(r.created_at.date()), str(r.updated_at.date())) for r in s.read("items").collect()}
+    assert items == {"p": ("r1", "2024-05-01", "2025-06-01"), "q": ("r2", "2024-06-01", "2024-06-01"), "s": ("r3", "2025-06-02", "2025-06-02"), "u": ("r5", "2022-04-01", "2022-04-01")}
+    sections = s.read("sections").select("doc_id", "idx").collect()
+    assert {r.doc_id for r in sections} == {"r1", "r2", "r3", "r5"} and len(sections) == len(set(sections))
