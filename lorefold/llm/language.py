@@ -4,7 +4,7 @@ Method: a byte convolutional network. Texts are cut into batched fixed-length wi
 bytes are embedded, filters of several widths run over each window, max pooling over the window
 gives one feature per filter, and a softmax layer gives the language. The network is trained in
 numpy on labelled text by Adam; training reads at most `max_samples` labelled texts, the documented
-bound, and nothing else is sampled: every byte of every document is classified.
+bound, and nothing else is sampled: every byte of every document is read.
 
 Windows overlap: features are pooled over short blocks first, and a window is a run of blocks, so
 each filter runs once per byte however much windows overlap. Segments come from the most probable
@@ -235,7 +235,8 @@ def segment_batch(net: Network, texts: list[str]) -> list[list[tuple[int, int, s
     starts = np.concatenate([[0], np.cumsum(padded)])
     for r, at in zip(raw, starts):
         data[at : at + len(r)] = np.frombuffer(without_names(r), np.uint8)
-    pooled = net.features(fold_case(data))
+    data = fold_case(data)
+    pooled = net.features(data)
     owner = np.repeat(np.arange(len(raw)), np.array(padded) // BLOCK)
     windows = pooled.copy()
     for i in range(1, BLOCKS):
@@ -243,17 +244,59 @@ def segment_batch(net: Network, texts: list[str]) -> list[list[tuple[int, int, s
         np.maximum(windows[:-i], pooled[i:], out=windows[:-i], where=same[:, None])
     scores = net.log_softmax(windows)
     out = []
-    for text, r, at in zip(texts, raw, starts[:-1] // BLOCK):
-        blocks = max(1, -(-len(r) // BLOCK))
-        out.append(_segments(net, text, r, scores[at : at + max(1, blocks - BLOCKS + 1)], pooled[at : at + blocks]))
+    for text, r, start in zip(texts, raw, starts[:-1]):
+        at, blocks = start // BLOCK, max(1, -(-len(r) // BLOCK))
+        out.append(_segments(net, text, r, data[start : start + len(r)], scores[at : at + max(1, blocks - BLOCKS + 1)], pooled[at : at + blocks]))
     return out
 
 
-def _segments(net: Network, text: str, raw: bytes, scores: np.ndarray, pooled: np.ndarray) -> list[tuple[int, int, str, float]]:
+def _alone(net: Network, data: np.ndarray) -> np.ndarray:
+    """Log probabilities of the languages for bytes judged alone, from the first on; a piece that does not
+    fill a window is padded as in training."""
+    padded = np.zeros(max(BLOCK * BLOCKS, len(data) + (-len(data)) % BLOCK), np.uint8)
+    padded[: len(data)] = data
+    return net.log_softmax(net.features(padded).max(axis=0, keepdims=True))[0]
+
+
+def _decide_short(net: Network, data: np.ndarray, found: list[tuple[int, int, int, float]], short: dict[int, tuple[int, int]]) -> None:
+    """Labels for the units in `short` (place in found: bytes from, to), which say too little alone. A row of
+    them that has two blocks of bytes is judged by itself: each unit with as many before, and as many behind
+    it, as make two blocks, and the row by the best path. A lesser row goes to the likelier neighbour; with
+    one neighbour, or without letters, it is left undecided."""
+    rows: list[list[int]] = []
+    for i in short:
+        if rows and rows[-1][-1] == i - 1:
+            rows[-1].append(i)
+        else:
+            rows.append([i])
+    for row in rows:
+        spans = [short[i] for i in row]
+        sizes = np.array([b1 - b0 if (data[b0:b1] >= 97).any() else 0 for b0, b1 in spans])  # letters, and what is not ASCII
+        if sizes.sum() >= 2 * BLOCK:
+            scores = np.empty((len(row), len(LANGUAGES)))
+            for j in range(len(row)):
+                first, last = j, j
+                while first and sizes[first : j + 1].sum() < 2 * BLOCK:
+                    first -= 1
+                while last + 1 < len(row) and sizes[j : last + 1].sum() < 2 * BLOCK:
+                    last += 1
+                sides = [(a, b) for a, b in ((first, j), (j, last)) if sizes[a : b + 1].sum() >= 2 * BLOCK] or [(first, last)]
+                scores[j] = np.mean([_alone(net, data[spans[a][0] : spans[b][1]]) for a, b in sides], axis=0)
+            for j, k in zip(range(len(row)), _path(scores)):
+                found[row[j]] = (*found[row[j]][:2], int(k), float(np.exp(scores[j, k])))
+        elif sizes.any() and row[0] > 0 and row[-1] + 1 < len(found):
+            own = _alone(net, data[spans[0][0] : spans[-1][1]])
+            k = max(found[row[0] - 1][2], found[row[-1] + 1][2], key=lambda x: own[x])
+            for i in row:
+                found[i] = (*found[i][:2], k, float(np.exp(own[k])))
+
+
+def _segments(net: Network, text: str, raw: bytes, data: np.ndarray, scores: np.ndarray, pooled: np.ndarray) -> list[tuple[int, int, str, float]]:
     """Units of the text are its sentences. A unit gets the label that most of its windows have on
     the best path; a unit shorter than two windows, whose windows mostly cover its neighbours too,
-    is judged by the blocks it fills alone. Runs of units with one label are a segment; a unit that is
-    cut by a change of label far from its ends is cut there."""
+    is judged by the blocks it fills alone, or, if these are not two, by its own bytes from the first
+    on; units of less than two blocks are judged with those beside them. Runs of units with one label are a
+    segment; a unit that is cut by a change of label far from its ends is cut there."""
     if not text:
         return []
     labels = _path(scores)
@@ -270,14 +313,16 @@ def _segments(net: Network, text: str, raw: bytes, scores: np.ndarray, pooled: n
         units.append((lo, hi, byte, byte + size))
         lo, byte = hi, byte + size
     found: list[tuple[int, int, int, float]] = []
+    short: dict[int, tuple[int, int]] = {}
     for lo, hi, b0, b1 in units:
         first, last = -(-b0 // BLOCK), b1 // BLOCK
         if b1 - b0 < 2 * window:
-            if last - first >= 2:
-                own = net.log_softmax(pooled[first:last].max(axis=0, keepdims=True))[0]
+            if b1 - b0 >= 2 * BLOCK:
+                own = net.log_softmax(pooled[first:last].max(axis=0, keepdims=True))[0] if last - first >= 2 else _alone(net, data[b0:b1])
                 k = int(own.argmax())
                 found.append((lo, hi, k, float(np.exp(own[k]))))
             else:
+                short[len(found)] = (b0, b1)
                 found.append((lo, hi, -1, 0.0))
             continue
         inner = labels[first : max(first + 1, min(len(labels), last - BLOCKS + 1))]
@@ -294,6 +339,7 @@ def _segments(net: Network, text: str, raw: bytes, scores: np.ndarray, pooled: n
                 stop = min(max(stop, at), hi)
             found.append((at, stop, k, float(np.exp(scores[first + t0 : first + t1, k]).mean()) if first + t0 < len(scores) else float(np.exp(scores[-1, k]))))
             at = stop
+    _decide_short(net, data, found, short)
     out: list[tuple[int, int, int, float]] = []
     for lo, hi, k, c in found:
         if out and (k in (-1, out[-1][2]) or out[-1][2] == -1):

@@ -49,6 +49,23 @@ def test_segments_of_mixed_text(net):
     assert right >= 36
 
 
+def test_short_sentences_are_read(net):
+    """A row of sentences too short to fill two blocks, and a sentence of 40 to 46 bytes wherever it begins,
+    keep their own language beside another's."""
+    r = random.Random(5)
+    rows = alone = 0
+    for i in range(48):
+        a, b = r.sample([k for k in VOCAB if k != "zh"], 2)
+        outer = sentence(b, r, 20)
+        row = " ".join(s for s in (sentence(a, r, 3) for _ in range(6)) if len(s.encode()) < 32)
+        one = next(s for s in (sentence(a, r, r.randint(5, 9)) for _ in range(10_000)) if 40 <= len(s.encode()) <= 46)
+        for text in (row, one):
+            before = f"{outer} {'x' * (i % 16)} {sentence(b, r, 20)} "
+            found = [s for s in language.segment_batch(net, [f"{before}{text} {outer}"])[0] if s[2] == a and abs(s[0] - len(before)) <= 2 and abs(s[1] - len(before) - len(text)) <= 2]
+            rows, alone = rows + (text is row and bool(found)), alone + (text is one and bool(found))
+    assert rows >= 43 and alone >= 43
+
+
 def test_features_do_not_depend_on_the_batch(net):
     texts = [sentence(k, R, n) for k in VOCAB for n in (1, 5, 40)]
     alone = [language.segment_batch(net, [t])[0] for t in texts]
