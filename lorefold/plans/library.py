@@ -49,11 +49,18 @@ def _trace(s, d):  # noqa: ANN001, ANN202
 
 def _evaluate(s, d):  # noqa: ANN001, ANN202
     """A document is expected for an item if it holds the passage word for word."""
-    docs = _docs(s, d).select(F.col("doc_id").alias("key"), F.array_join(se.tokens(F.col("text")), " ").alias("line"))
-    words = _queries(s, d).select(F.col("eval_id").alias("query_id"), F.array_join(F.slice(se.tokens(F.col("passage")), 1, 8), " ").alias("opening"))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("ws") - 8, F.lit(0))), lambda i: F.array_join(F.slice("ws", i + 1, 8), " "))
-    grams = docs.select("key", F.split("line", " ").alias("ws")).select("key", F.explode(runs).alias("opening"))
-    expected = grams.join(words, "opening").select("query_id", "key").distinct()
+    docs = _docs(s, d).select(F.col("doc_id").alias("key"), se.tokens(F.col("text")).alias("ws"))
+    items = _queries(s, d).select(F.col("eval_id").alias("query_id"), se.tokens(F.col("passage")).alias("pw")).where(F.size("pw") > 0)
+    # openings only find candidates
+    openings = items.select("query_id", F.least(F.size("pw"), F.lit(8)).alias("n"), F.array_join(F.slice("pw", 1, 8), " ").alias("opening"))
+    sizes = sorted(r["n"] for r in openings.select("n").distinct().collect())  # eight at most
+    none = F.array().cast("array<string>")
+    runs = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(none)
+    grams = F.flatten(F.array(none, *[runs(n) for n in sizes]))
+    candidates = docs.select("key", F.explode(grams).alias("opening")).join(openings.select("query_id", "opening"), "opening").select("query_id", "key").distinct()
+    line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    lines = candidates.join(items.select("query_id", line("pw").alias("passage")), "query_id").join(docs.select("key", line("ws").alias("line")), "key")
+    expected = lines.where(F.contains("line", F.col("passage"))).select("query_id", "key")
     return se.evaluate(_hits(s, d), expected)
 
 

@@ -3,6 +3,7 @@ import sqlite3
 from pyspark.sql import functions as F
 
 from lorefold.operators import search as se
+from lorefold.plans import library
 
 DOCS = [(1, "Alpha", "the quick brown fox, the lazy dog"), (2, "Beta fox", "a fox's résumé and the dog"), (3, None, "nothing here"), (4, "Dog", "dog dog dog cat"), (5, "Empty", None)]
 QUERIES = [(1, "fox dog"), (2, "resume"), (3, "dog dog zebra"), (4, "")]
@@ -67,3 +68,13 @@ def test_trace_and_phrases(spark):
     docs = spark.createDataFrame(DOCS, "id bigint, title string, text string")
     assert [x.key for x in se.phrase_hits(docs, "id", "text", "lazy-dog").collect()] == [1]
     assert spark.range(1).select(se.trace_terms(F.lit("the of")).alias("t")).first().t == []
+
+
+def test_expected_documents_hold_the_whole_passage(spark, tmp_path):
+    words = [f"w{i}" for i in range(12)]
+    passages = [(1, " ".join(words), "zebra"), (2, "short one", "okapi"), (3, "", "quagga")]
+    docs = [(1, "zebra zebra", "zebra zebra " + " ".join(words[:9]), "s"), (2, None, "A " + ", ".join(words) + ". zebra", "s"), (3, None, "this short one is an okapi", "s"), (4, None, "short okapi okapi", "s"), (5, None, None, "s")]
+    spark.createDataFrame(docs, "doc_id bigint, title string, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "", q, p) for i, p, q in passages], "eval_id bigint, question string, answer string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    row = library.QUERIES["retrieval_eval"](spark, str(tmp_path)).first()
+    assert (row.queries, row.hit_at_1, row.hit_at_3) == (2, 0.0, 1.0)
