@@ -254,16 +254,17 @@ def line_counts(snapshots: DataFrame) -> DataFrame:
 
 
 def text_evidence(snapshots: DataFrame) -> DataFrame:
-    """(rawdoc_id, host, placeholder, lines): captures with a placeholder or with evidence lines; the
-    lines are structs of (no, kind, weight, line), weight being what the line adds to an article."""
+    """(rawdoc_id, version, host, placeholder, lines): captures with a placeholder or with evidence lines;
+    the lines are structs of (no, kind, weight, line), weight being what the line adds to an article.
+    Version is the fingerprint of host, text and titles: repeated rows are one, each other text is its own."""
     url = F.coalesce("page_url", "canonical_url")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for r, h, t, own in zip(b["rawdoc_id"], b["host"], b["text"], b["own"]):
+            for r, v, h, t, own in zip(b["rawdoc_id"], b["version"], b["host"], b["text"], b["own"]):
                 if has_placeholder(t):
-                    out.append((r, h, True, []))
+                    out.append((r, v, h, True, []))
                     continue
                 titles = set(own)
                 rows, found = [], False
@@ -279,12 +280,13 @@ def text_evidence(snapshots: DataFrame) -> DataFrame:
                     if kind or weight:
                         rows.append({"no": no, "kind": kind, "weight": weight, "line": line})
                 if found:
-                    out.append((r, h, False, rows))
-            yield pd.DataFrame(out, columns=["rawdoc_id", "host", "placeholder", "lines"])
+                    out.append((r, v, h, False, rows))
+            yield pd.DataFrame(out, columns=["rawdoc_id", "version", "host", "placeholder", "lines"])
 
     own = F.transform(F.filter(F.array("title", "page_title"), lambda x: x.isNotNull()), lambda x: F.trim(x))
     rows = snapshots.select("rawdoc_id", F.coalesce(host_key(url), F.lit("")).alias("host"), "text", own.alias("own")).where("rawdoc_id is not null and text is not null")
-    return rows.mapInPandas(run, "rawdoc_id string, host string, placeholder boolean, lines array<struct<no int, kind string, weight int, line string>>")
+    rows = rows.withColumn("version", F.xxhash64("host", "text", "own"))
+    return rows.mapInPandas(run, "rawdoc_id string, version bigint, host string, placeholder boolean, lines array<struct<no int, kind string, weight int, line string>>").dropDuplicates(["rawdoc_id", "version"])
 
 
 def text_cases(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_hosts: int = MIN_HOSTS) -> DataFrame:
@@ -296,15 +298,15 @@ def text_cases(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_hosts: int
     pages = page_keys(snapshots).distinct().groupBy("host").agg(F.count("*").alias("all"))
     by_host = counts.where(F.col("pages") >= min_pages).join(pages, "host").where(F.col("pages") >= F.col("all") * MIN_SHARE).select("host", "key", F.lit(True).alias("here"))
     everywhere = counts.groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts).select("key", F.lit(True).alias("there"))
-    lines = found.where("not placeholder").select("rawdoc_id", "host", F.explode("lines").alias("l"))
-    trailer = lines.where("l.kind = 'trailer'").groupBy("rawdoc_id").agg(F.min("l.no").alias("trailer"))
-    weighed = lines.where("l.weight > 0").select("rawdoc_id", "host", F.col("l.no").alias("no"), F.col("l.weight").alias("weight"), masked(F.col("l.line"), site_name(F.col("host"))).alias("masked")).withColumn("named", F.contains("masked", F.lit("@"))).withColumn("key", F.xxhash64("masked")).drop("masked")
+    lines = found.where("not placeholder").select("rawdoc_id", "version", "host", F.explode("lines").alias("l"))
+    trailer = lines.where("l.kind = 'trailer'").groupBy("rawdoc_id", "version").agg(F.min("l.no").alias("trailer"))
+    weighed = lines.where("l.weight > 0").select("rawdoc_id", "version", "host", F.col("l.no").alias("no"), F.col("l.weight").alias("weight"), masked(F.col("l.line"), site_name(F.col("host"))).alias("masked")).withColumn("named", F.contains("masked", F.lit("@"))).withColumn("key", F.xxhash64("masked")).drop("masked")
     marked = salted_lookup(weighed, by_host, ["host", "key"], ["rawdoc_id"], how="left")
     # a short heading may stand on many sites by chance: there it is boilerplate only if it names the site
-    marked = salted_lookup(marked, everywhere, ["key"], ["rawdoc_id"], how="left").join(trailer, "rawdoc_id", "left")
+    marked = salted_lookup(marked, everywhere, ["key"], ["rawdoc_id"], how="left").join(trailer, ["rawdoc_id", "version"], "left")
     left = marked.where("here is null and (there is null or (weight = 1 and not named)) and (trailer is null or no < trailer)")
-    articles = left.groupBy("rawdoc_id").agg(F.sum("weight").alias("weight")).where("weight >= 2").select("rawdoc_id")
-    return found.where("placeholder").select("rawdoc_id").unionByName(found.where("not placeholder").select("rawdoc_id").join(articles, "rawdoc_id", "left_anti")).distinct()
+    articles = left.groupBy("rawdoc_id", "version").agg(F.sum("weight").alias("weight")).where("weight >= 2").select("rawdoc_id", "version")
+    return found.where("placeholder").select("rawdoc_id").unionByName(found.where("not placeholder").select("rawdoc_id", "version").join(articles, ["rawdoc_id", "version"], "left_anti").select("rawdoc_id")).distinct()
 
 
 def residue_cases(snapshots: DataFrame, rawdocs: DataFrame, min_pages: int = MIN_PAGES, min_hosts: int = MIN_HOSTS) -> DataFrame:

@@ -35,6 +35,15 @@ def page(spark, rows):
     return spark.createDataFrame([(r, f"https://site-{h}.example/{r}?x=1", None, title, None, html, text, "noise") for r, h, title, html, text in rows], SNAP)
 
 
+def test_repeats_of_a_residue_page_count_once(spark):
+    """One line that may be a heading makes no article, however often its capture is stored; of several texts
+    of a capture any may make it a case."""
+    text = "Page not found\nHome about contact\n"
+    rows = [("once", 1, None, None, text), ("twice", 2, None, None, text), ("twice", 2, None, None, text), ("texts", 3, None, None, text), ("texts", 3, None, None, text + LONG), ("article", 4, None, None, text + LONG)]
+    raw = spark.createDataFrame([], "rawdoc_id string, source_uri string")
+    assert sorted(r.rawdoc_id for r in tr.residue_cases(page(spark, rows), raw).collect()) == ["once", "texts", "twice"]
+
+
 def test_residue_cases(spark):
     furniture = "Site 0 menu of pages and of many more things that stand here on every page of the site\n"
     rows = [(f"n{i}", 0, None, None, furniture + LONG.replace("subject", f"subject {chr(97 + i)}")) for i in range(6)]
