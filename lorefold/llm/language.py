@@ -3,32 +3,40 @@
 Method: a byte convolutional network. Texts are cut into batched fixed-length windows of UTF-8 bytes;
 bytes are embedded, filters of several widths run over each window, max pooling over the window
 gives one feature per filter, and a softmax layer gives the language. The network is trained in
-numpy on labelled text by Adam; training reads at most `max_samples` labelled texts, the documented
-bound, and nothing else is sampled: every byte of every document is read.
-
-Windows overlap: features are pooled over short blocks first, and a window is a run of blocks, so
-each filter runs once per byte however much windows overlap. Segments come from the most probable
-sequence of languages over the windows with a cost for each change, and their ends are moved to the
-nearest boundary of sentences.
+numpy on labelled text by Adam, in two passes. The first reads at most `max_samples` labelled texts.
+The second adds at most `max_rows` rows of the corpus whose item carries a label that the first
+network confirms on the whole row; sentences it takes for another language are left out. That
+teaches it the words that samples lack. These bounds are the only ones: every byte of every
+document is classified.
+
+Units are the sentences and lines of a text. Each is laid out from its first byte on, as in training,
+and cut into overlapping windows; features are pooled over short blocks first, so each filter runs
+once per byte however much windows overlap. The languages of a text's units are its most probable
+sequence with a cost for each change, so that a short unit of small margin follows its neighbours.
 """
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorefold.operators.latest import holding_rows
+from lorefold.session import shared_folder
 
 LANGUAGES = ("de", "en", "es", "fr", "pt", "zh")
 BLOCK, BLOCKS = 16, 4  # a window is BLOCKS blocks of BLOCK bytes, one starts at every block
-WIDTHS, FILTERS, DIM = (2, 3, 4), 16, 8
-MAX_SAMPLES = 20_000
+WIDTHS, FILTERS, DIM = (2, 3, 4), 24, 8
+MAX_SAMPLES, MAX_ROWS = 20_000, 12_000
+STEPS, SEEDS = 1200, (7, 8)
 MIN_RUN, MIN_RUN_WIDE = 40, 20
 
 # Codes and names of the languages, in lower case.
@@ -54,7 +62,7 @@ def label_language(label: str | None) -> str | None:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
+_LOWER[48:58] = 48
 
 _BLANK = re.compile(rb"\xe3\x80\x80|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xef\xbb\xbf|\xc2[\xa0\xad]")
 _NAME = re.compile(rb"(?<=[a-z,;0-9] )[A-Z](?:[A-Za-z0-9'-]|\xc3[\x80-\xbf])*")
@@ -69,7 +77,8 @@ def without_names(raw: bytes) -> bytes:
 
 
 def fold_case(data: np.ndarray) -> np.ndarray:
-    """Bytes with the capital letters of ASCII and Latin-1, as UTF-8 spells them, made small."""
+    """Bytes with the capital letters of ASCII and Latin-1, as UTF-8 spells them, made small and all digits
+    made 0."""
     out = _LOWER[data]
     marked = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
     out[marked] += 32
@@ -78,85 +87,118 @@ def fold_case(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Weights. filters: one (width * DIM, FILTERS) matrix per width."""
+    """Weights of one network, or of several side by side whose logits are averaged. kernel: all filters as
+    one matrix over the widest span, zero beyond a narrower filter's own."""
 
     embed: np.ndarray
-    filters: list[np.ndarray]
+    kernel: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
 
+    @classmethod
+    def average(cls, nets: list[Network]) -> Network:
+        """Networks side by side: each filter sees its own network's embedding only."""
+        widest, dims, filters = max(WIDTHS), [n.embed.shape[1] for n in nets], [n.kernel.shape[1] for n in nets]
+        kernel = np.zeros((widest, sum(dims), sum(filters)), np.float32)
+        for i, n in enumerate(nets):
+            d, f = sum(dims[:i]), sum(filters[:i])
+            kernel[:, d : d + dims[i], f : f + filters[i]] = n.kernel.reshape(widest, dims[i], -1)
+        share = np.float32(1 / len(nets))
+        return cls(np.hstack([n.embed for n in nets]), kernel.reshape(-1, sum(filters)), np.concatenate([n.bias for n in nets]), np.vstack([n.out for n in nets]) * share, sum(n.out_bias for n in nets) * share)
+
     def features(self, data: np.ndarray, batch: int = 8192) -> np.ndarray:
         """Pooled filter outputs of each block of BLOCK bytes; data is padded to whole blocks."""
-        widest = max(WIDTHS)
+        widest, dim = max(WIDTHS), self.embed.shape[1]
         n = len(data) // BLOCK
         padded = np.concatenate([data, np.zeros(widest, np.uint8)])
-        kernel = self._kernel()
-        pooled = np.empty((n, kernel.shape[1]), np.float32)
+        pooled = np.empty((n, self.kernel.shape[1]), np.float32)
         for at in range(0, n * BLOCK, batch):
             size = min(batch, n * BLOCK - at)
             e = self.embed[padded[at : at + size + widest - 1]]
-            view = np.lib.stride_tricks.as_strided(e, (size, widest * DIM), (e.strides[0], e.strides[1]))
-            h = np.ascontiguousarray(view) @ kernel
+            view = np.lib.stride_tricks.as_strided(e, (size, widest * dim), (e.strides[0], e.strides[1]))
+            h = np.ascontiguousarray(view) @ self.kernel
             pooled[at // BLOCK : (at + size) // BLOCK] = h.reshape(size // BLOCK, BLOCK, -1).max(axis=1)
         return np.maximum(pooled + self.bias, 0)
 
-    def _kernel(self) -> np.ndarray:
-        """All filters as one matrix over the widest span; narrower ones are zero beyond theirs."""
-        widest = max(WIDTHS)
-        k = np.zeros((widest * DIM, len(WIDTHS) * FILTERS), np.float32)
-        for i, (w, f) in enumerate(zip(WIDTHS, self.filters)):
-            k[: w * DIM, i * FILTERS : (i + 1) * FILTERS] = f
-        return k
-
     def log_softmax(self, windows: np.ndarray) -> np.ndarray:
         """Log probabilities of the languages from pooled features, one row per window."""
         z = windows @ self.out + self.out_bias
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-
-def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 128, rate: float = 0.004, seed: int = 7) -> Network:
-    """Fit the network on windows cut at random from the labelled texts; classes are drawn alike. Digits and
-    capitalised words are blotted out and words of other languages put in at random, so that names,
-    which may be made of any language's words, do not decide."""
+    def save(self) -> bytes:
+        """The weights as bytes."""
+        out = io.BytesIO()
+        np.savez(out, **vars(self))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Network:
+        """The network that save() wrote."""
+        return cls(**np.load(io.BytesIO(data)))
+
+
+def _training_windows(pools: list[list[bytes]], rng: np.random.Generator, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows cut from the pools' texts and their classes, which are drawn alike: half of them begin with
+    a text, as in use, the others anywhere in two texts joined; a third are cut short; words of
+    other languages stand in some, so that names, which may be made of any language's words, do not
+    decide."""
+    size, present = BLOCK * BLOCKS, [i for i, p in enumerate(pools) if p]
+    x = np.zeros((count, size + max(WIDTHS) - 1), np.uint8)
+    y = np.array(present)[rng.integers(len(present), size=count)]
+    dice = rng.random((count, 7))
+    for i in range(count):
+        pool, u = pools[y[i]], dice[i]
+        text = pool[int(u[0] * len(pool))]
+        if u[1] < 0.5:
+            text += b" " + pool[int(u[2] * len(pool))]
+            text = text[int(u[1] * 2 * max(1, len(text) - size)) :]
+        piece = text[:size]
+        if u[3] < 0.35:
+            piece = piece[: 12 + int(u[3] / 0.35 * (size - 12))]
+        if u[4] < 0.35:
+            other = pools[present[int(u[4] / 0.35 * len(present))]]
+            words = other[int(u[5] * len(other))].split()
+            first = int(u[6] * len(words))
+            name = b" ".join(words[first : first + 1 + int(u[5] * 997) % 3])[:24]
+            spot = int(u[6] * 991) % (len(piece) + 1)
+            spot = piece.rfind(b" ", 0, spot) + 1 if LANGUAGES[y[i]] != "zh" else spot - spot % 3
+            piece = (piece[:spot] + name + b" " + piece[spot:])[:size]
+        lead = 0 if u[1] < 0.5 else max(WIDTHS) - 1  # a text begins behind zeros, as in unit_scores
+        x[i, lead : lead + len(piece)] = np.frombuffer(piece, np.uint8)
+    return fold_case(x.ravel()).reshape(x.shape), y
+
+
+def _fold(texts: list[str]) -> list[bytes]:
+    return [without_names(t.encode("utf-8", "replace")) for t in texts if t]
+
+
+def train(texts: list[str], labels: list[str], steps: int = STEPS, batch: int = 64, rate: float = 0.004, seed: int = SEEDS[0], begin: Network | None = None) -> Network:
+    """Fit the network, from `begin` on if it is given, on windows cut at random from the labelled texts.
+    Filters are left out at random while training, so that no few of them decide."""
     rng = np.random.default_rng(seed)
     size, classes = BLOCK * BLOCKS, len(LANGUAGES)
-    pools: list[list[bytes]] = [[] for _ in LANGUAGES]
-    for t, label in zip(texts, labels):
-        if t and label in LANGUAGES:
-            pools[LANGUAGES.index(label)].append(without_names(t.encode()))
-    present = [i for i, p in enumerate(pools) if p]
+    pools = [_fold([t for t, label in zip(texts, labels) if label == language]) for language in LANGUAGES]
     widest, k_out = max(WIDTHS), len(WIDTHS) * FILTERS
-    p = {"embed": rng.normal(0, 0.3, (256, DIM)), "out": rng.normal(0, 0.1, (k_out, classes)), "bias": np.zeros(k_out), "out_bias": np.zeros(classes)}
-    p |= {f"f{i}": rng.normal(0, 0.25, (w * DIM, FILTERS)) for i, w in enumerate(WIDTHS)}
+    spread = {"embed": 0.3, "out": 0.1, "bias": 0.0, "out_bias": 0.0} | {f"f{i}": 0.25 for i in range(len(WIDTHS))}
+    shapes = {"embed": (256, DIM), "out": (k_out, classes), "bias": (k_out,), "out_bias": (classes,)} | {f"f{i}": (w * DIM, FILTERS) for i, w in enumerate(WIDTHS)}
+    p = {k: rng.normal(0, spread[k], shape) for k, shape in shapes.items()}
+    if begin is not None:
+        p = {"embed": begin.embed, "out": begin.out, "bias": begin.bias, "out_bias": begin.out_bias}
+        p |= {f"f{i}": begin.kernel[: w * DIM, i * FILTERS : (i + 1) * FILTERS] for i, w in enumerate(WIDTHS)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+    rows, places = np.arange(batch)[:, None], np.arange(DIM)
+    stock = min(steps * batch, 65_536)
+    mean: dict[str, np.ndarray] = {}
     for step in range(1, steps + 1):
-        y = rng.choice(present, batch)
-        x = np.zeros((batch, size + widest - 1), np.uint8)
-        for i, c in enumerate(y):
-            text = b" ".join(pools[c][j] for j in rng.integers(len(pools[c]), size=2))
-            at = int(rng.integers(max(1, len(text) - size)))
-            piece = text[at : at + size]
-            if rng.random() < 0.2:
-                piece = piece[: int(rng.integers(24, size + 1))]
-            if rng.random() < 0.5:
-                piece = re.sub(rb"\d+", b"0", piece)
-            if c != LANGUAGES.index("zh") and rng.random() < 0.3:
-                piece = re.sub(rb"[A-Z][a-z]+", b"N", piece)
-            if rng.random() < 0.5:
-                other = pools[present[int(rng.integers(len(present)))]]
-                words = other[int(rng.integers(len(other)))].split()
-                first = int(rng.integers(len(words)))
-                name = b" ".join(words[first : first + int(rng.integers(1, 4))])[:24]
-                spot = int(rng.integers(len(piece) + 1))
-                spot = piece.rfind(b" ", 0, spot) + 1 if c != LANGUAGES.index("zh") else spot - spot % 3
-                piece = (piece[:spot] + name + b" " + piece[spot:])[:size]
-            x[i, : len(piece)] = fold_case(np.frombuffer(piece, np.uint8))
+        at = (step - 1) * batch % stock
+        if at == 0:
+            xs, ys = _training_windows(pools, rng, stock)
+        x, y = xs[at : at + batch], ys[at : at + batch]
         e = p["embed"][x]
-        grads = {}
-        feats, args, spans = [], [], []
+        grads, feats, args, spans = {}, [], [], []
         for i, w in enumerate(WIDTHS):
             span = np.lib.stride_tricks.sliding_window_view(e, (w, DIM), axis=(1, 2))[:, :size, 0].reshape(batch, size, w * DIM)
             h = span @ p[f"f{i}"]
@@ -165,7 +207,8 @@ def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 1
             args.append(a)
             spans.append(span)
         pre = np.concatenate(feats, 1) + p["bias"]
-        f = np.maximum(pre, 0)
+        kept = ((rng.random(pre.shape, np.float32) < 0.8) / np.float32(0.8)) * (pre > 0)
+        f = pre * kept
         z = f @ p["out"] + p["out_bias"]
         z -= z.max(1, keepdims=True)
         q = np.exp(z)
@@ -173,40 +216,102 @@ def train(texts: list[str], labels: list[str], steps: int = 1500, batch: int = 1
         q[np.arange(batch), y] -= 1
         q /= batch
         grads["out"], grads["out_bias"] = f.T @ q, q.sum(0)
-        g = (q @ p["out"].T) * (pre > 0)
+        g = (q @ p["out"].T) * kept
         grads["bias"] = g.sum(0)
-        ge = np.zeros_like(p["embed"])
-        rows = np.arange(batch)[:, None]
+        spots, pushes = [], []
         for i, w in enumerate(WIDTHS):
             gi = g[:, i * FILTERS : (i + 1) * FILTERS]
-            picked = spans[i][rows, args[i]]
-            grads[f"f{i}"] = np.einsum("bfk,bf->kf", picked, gi)
+            grads[f"f{i}"] = np.einsum("bfk,bf->kf", spans[i][rows, args[i]], gi)
             back = np.einsum("bf,kf->bfk", gi, p[f"f{i}"]).reshape(batch, FILTERS, w, DIM)
-            for j in range(w):
-                np.add.at(ge, x[rows, args[i] + j], back[:, :, j])
-        grads["embed"] = ge
+            spots.append((x[rows[:, :, None], args[i][:, :, None] + np.arange(w)].astype(np.int64)[..., None] * DIM + places).ravel())
+            pushes.append(back.ravel())
+        grads["embed"] = np.bincount(np.concatenate(spots), np.concatenate(pushes), 256 * DIM).reshape(256, DIM)
         lr = rate * min(1.0, step / 50) * (0.1 if step > 0.8 * steps else 1.0)
         for k, gk in grads.items():
             gk = gk + 1e-4 * p[k]
             m[k] = 0.9 * m[k] + 0.1 * gk
             v[k] = 0.99 * v[k] + 0.01 * gk * gk
             p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return Network(p["embed"], [p[f"f{i}"] for i in range(len(WIDTHS))], p["bias"], p["out"], p["out_bias"])
-
-
-def fit(samples: DataFrame, text: str = "text", lang: str = "lang", max_samples: int = MAX_SAMPLES, steps: int = 1500) -> Network:
-    """Train on at most max_samples labelled rows, those with the smallest fingerprints."""
-    rows = samples.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null").orderBy(F.xxhash64("t"), "t").limit(max_samples).collect()
-    return train([r.t for r in rows], [label_language(r.l) or "" for r in rows], steps=steps)
-
-
-# A change of language costs as much as this difference in log probability.
-SWITCH = 4.0
+        if step > 0.8 * steps:  # the weights kept are the mean over the last steps
+            for k, w in p.items():
+                mean[k] = mean.get(k, 0) + w
+    p = {k: (x / (steps - int(0.8 * steps))).astype(np.float32) for k, x in mean.items()}
+    kernel = np.zeros((widest * DIM, k_out), np.float32)
+    for i, w in enumerate(WIDTHS):
+        kernel[: w * DIM, i * FILTERS : (i + 1) * FILTERS] = p[f"f{i}"]
+    return Network(p["embed"], kernel, p["bias"], p["out"], p["out_bias"])
+
+
+def train_several(texts: list[str], labels: list[str], seeds: tuple[int, ...], begin: list[Network] | None = None, **settings: float) -> list[Network]:
+    """One network for each seed, trained at the same time."""
+    with ThreadPoolExecutor(len(seeds)) as pool:
+        return list(pool.map(lambda s, b: train(texts, labels, seed=s, begin=b, **settings), seeds, begin or [None] * len(seeds)))
+
+
+def confirmed_units(net: Network, texts: list[str], labels: list[str]) -> tuple[list[str], list[str]]:
+    """Sentences of the texts whose label the network confirms, and their labels. A text counts if most of
+    its characters are in the language of its label; a sentence that the network firmly gives to another language is
+    left out."""
+    out: list[str] = []
+    langs: list[str] = []
+    for text, label, (units, scores) in zip(texts, labels, unit_scores(net, texts)):
+        sizes = np.array([hi - lo for lo, hi in units])
+        k = LANGUAGES.index(label)
+        if not len(units) or sizes[scores.argmax(axis=1) == k].sum() * 2 < sizes.sum():
+            continue
+        for (lo, hi), s in zip(units, scores):
+            if hi - lo >= 8 and (s.argmax() == k or s.max() < FIRM):
+                out.append(text[lo:hi])
+                langs.append(label)
+    return out, langs
+
+
+def _kept_networks(spark: SparkSession, name: str, make: Callable[[], list[Network]]) -> list[Network]:
+    """The networks of that name out of the shared folder, made and written there if they are not."""
+    path = f"{shared_folder(spark).rstrip('/')}/networks-{name}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        rows = [(i, bytearray(n.save())) for i, n in enumerate(make())]
+        spark.createDataFrame(rows, "place int, weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return [Network.load(bytes(r.weights)) for r in spark.read.parquet(path).orderBy("place").collect()]
+
+
+def fit(samples: DataFrame, sections: DataFrame | None = None, items: DataFrame | None = None, text: str = "text", lang: str = "lang", max_samples: int = MAX_SAMPLES, max_rows: int = MAX_ROWS, steps: int = STEPS, seeds: tuple[int, ...] = SEEDS) -> Network:
+    """The average of one network for each seed, trained on at most max_samples labelled rows, those with
+    the smallest fingerprints, and then, if sections and items are given, on at most max_rows of the
+    sections as well. Networks are kept in the shared folder under the fingerprint of what they were
+    trained on, so the same data train once."""
+    rows = samples.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null").orderBy(F.xxhash64("t"), "t", "l").limit(max_samples).collect()
+    texts, labels = [r.t for r in rows], [label_language(r.l) or "" for r in rows]
+    spark = samples.sparkSession
+    mark = lambda *parts: xxhash.xxh64_hexdigest(repr((WIDTHS, FILTERS, DIM, BLOCK, BLOCKS, FIRM, steps, seeds, parts)).encode("utf-8", "replace"))
+    nets = _kept_networks(spark, mark(texts, labels), lambda: train_several(texts, labels, seeds, steps=steps))
+    if sections is None or items is None:
+        return Network.average(nets)
+    order = F.xxhash64("doc_id", "section_index", "content")
+    some = _prose(sections).orderBy(order, "doc_id", "section_index", "content").limit(max_rows)
+    more = item_labels(items).where("label is not null").join(F.broadcast(some), "doc_id").orderBy(order, "doc_id", "section_index", "content").select("content", "label").collect()
+    own, own_labels = [r.content for r in more], [r.label for r in more]
+    return Network.average(_kept_networks(spark, mark(texts, labels, own, own_labels), lambda: train_again(nets, texts, labels, own, own_labels, seeds, steps)))
+
+
+def train_again(nets: list[Network], texts: list[str], labels: list[str], own: list[str], own_labels: list[str], seeds: tuple[int, ...] = SEEDS, steps: int = STEPS) -> list[Network]:
+    """The networks trained further with the confirmed sentences of `own`; the labelled samples make up about a third of
+    what is drawn of each language."""
+    units, languages = confirmed_units(Network.average(nets), own, own_labels)
+    share = {k: max(1, languages.count(k) // max(1, 2 * labels.count(k))) for k in LANGUAGES}
+    both = [(t, k) for t, k in zip(texts, labels) for _ in range(share.get(k, 1))] + list(zip(units, languages))
+    return train_several([t for t, _ in both], [k for _, k in both], tuple(s + 1000 for s in seeds), nets, steps=steps, rate=0.002)
+
+
+# A change of language between units costs as much as this difference in log probability, one within a
+# unit, where windows overlap, more. FIRM: the log probability from which a unit counts as decided.
+TURN, SWITCH, FIRM = 1.0, 4.0, float(np.log(0.9))
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？])\s*|\n+")
 
 
-def _path(scores: np.ndarray) -> np.ndarray:
-    """Most probable sequence of classes with SWITCH for each change. If every window prefers the
+def _path(scores: np.ndarray, cost: float) -> np.ndarray:
+    """Most probable sequence of classes with the given cost for each change. If every row prefers the
     same class, that constant path is the optimum and nothing is left to search."""
     top = scores.argmax(axis=1)
     if (top == top[0]).all():
@@ -216,7 +321,7 @@ def _path(scores: np.ndarray) -> np.ndarray:
     own = np.arange(k)
     for i in range(1, n):
         top = int(best.argmax())
-        jump = best[top] - SWITCH
+        jump = best[top] - cost
         stay = best >= jump
         back[i] = np.where(stay, own, top)
         best = np.where(stay, best, jump) + scores[i]
@@ -227,136 +332,88 @@ def _path(scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def segment_batch(net: Network, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
-    """Segments (from, to, language, confidence) of each text, in characters, tiling the text."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
-    padded = [len(r) + (-len(r)) % BLOCK + BLOCK for r in raw]
-    data = np.zeros(sum(padded), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(padded)])
-    for r, at in zip(raw, starts):
-        data[at : at + len(r)] = np.frombuffer(without_names(r), np.uint8)
-    data = fold_case(data)
-    pooled = net.features(data)
-    owner = np.repeat(np.arange(len(raw)), np.array(padded) // BLOCK)
-    windows = pooled.copy()
-    for i in range(1, BLOCKS):
-        same = owner[:-i] == owner[i:]  # windows must not reach into the next text
-        np.maximum(windows[:-i], pooled[i:], out=windows[:-i], where=same[:, None])
-    scores = net.log_softmax(windows)
-    out = []
-    for text, r, start in zip(texts, raw, starts[:-1]):
-        at, blocks = start // BLOCK, max(1, -(-len(r) // BLOCK))
-        out.append(_segments(net, text, r, data[start : start + len(r)], scores[at : at + max(1, blocks - BLOCKS + 1)], pooled[at : at + blocks]))
-    return out
-
-
-def _alone(net: Network, data: np.ndarray) -> np.ndarray:
-    """Log probabilities of the languages for bytes judged alone, from the first on; a piece that does not
-    fill a window is padded as in training."""
-    padded = np.zeros(max(BLOCK * BLOCKS, len(data) + (-len(data)) % BLOCK), np.uint8)
-    padded[: len(data)] = data
-    return net.log_softmax(net.features(padded).max(axis=0, keepdims=True))[0]
-
-
-def _decide_short(net: Network, data: np.ndarray, found: list[tuple[int, int, int, float]], short: dict[int, tuple[int, int]]) -> None:
-    """Labels for the units in `short` (place in found: bytes from, to), which say too little alone. A row of
-    them that has two blocks of bytes is judged by itself: each unit with as many before, and as many behind
-    it, as make two blocks, and the row by the best path. A lesser row goes to the likelier neighbour; with
-    one neighbour, or without letters, it is left undecided."""
-    rows: list[list[int]] = []
-    for i in short:
-        if rows and rows[-1][-1] == i - 1:
-            rows[-1].append(i)
-        else:
-            rows.append([i])
-    for row in rows:
-        spans = [short[i] for i in row]
-        sizes = np.array([b1 - b0 if (data[b0:b1] >= 97).any() else 0 for b0, b1 in spans])  # letters, and what is not ASCII
-        if sizes.sum() >= 2 * BLOCK:
-            scores = np.empty((len(row), len(LANGUAGES)))
-            for j in range(len(row)):
-                first, last = j, j
-                while first and sizes[first : j + 1].sum() < 2 * BLOCK:
-                    first -= 1
-                while last + 1 < len(row) and sizes[j : last + 1].sum() < 2 * BLOCK:
-                    last += 1
-                sides = [(a, b) for a, b in ((first, j), (j, last)) if sizes[a : b + 1].sum() >= 2 * BLOCK] or [(first, last)]
-                scores[j] = np.mean([_alone(net, data[spans[a][0] : spans[b][1]]) for a, b in sides], axis=0)
-            for j, k in zip(range(len(row)), _path(scores)):
-                found[row[j]] = (*found[row[j]][:2], int(k), float(np.exp(scores[j, k])))
-        elif sizes.any() and row[0] > 0 and row[-1] + 1 < len(found):
-            own = _alone(net, data[spans[0][0] : spans[-1][1]])
-            k = max(found[row[0] - 1][2], found[row[-1] + 1][2], key=lambda x: own[x])
-            for i in row:
-                found[i] = (*found[i][:2], k, float(np.exp(own[k])))
-
-
-def _segments(net: Network, text: str, raw: bytes, data: np.ndarray, scores: np.ndarray, pooled: np.ndarray) -> list[tuple[int, int, str, float]]:
-    """Units of the text are its sentences. A unit gets the label that most of its windows have on
-    the best path; a unit shorter than two windows, whose windows mostly cover its neighbours too,
-    is judged by the blocks it fills alone, or, if these are not two, by its own bytes from the first
-    on; units of less than two blocks are judged with those beside them. Runs of units with one label are a
-    segment; a unit that is cut by a change of label far from its ends is cut there."""
-    if not text:
-        return []
-    labels = _path(scores)
-    window = BLOCK * BLOCKS
+def _units(text: str) -> list[tuple[int, int]]:
+    """Sentences and lines of the text, with the blanks behind them; they tile it."""
     ends = [m.end() for m in _SENTENCE_END.finditer(text)]
-    if (labels == labels[0]).all() and not ends:
-        return [(0, len(text), LANGUAGES[labels[0]], float(np.exp(scores[:, labels[0]]).mean()))]
-    wide = len(raw) != len(text)
-    units, lo, byte = [], 0, 0
-    for hi in [*ends, len(text)]:
-        if hi <= lo:
-            continue
-        size = len(text[lo:hi].encode("utf-8", "replace")) if wide else hi - lo
-        units.append((lo, hi, byte, byte + size))
-        lo, byte = hi, byte + size
-    found: list[tuple[int, int, int, float]] = []
-    short: dict[int, tuple[int, int]] = {}
-    for lo, hi, b0, b1 in units:
-        first, last = -(-b0 // BLOCK), b1 // BLOCK
-        if b1 - b0 < 2 * window:
-            if b1 - b0 >= 2 * BLOCK:
-                own = net.log_softmax(pooled[first:last].max(axis=0, keepdims=True))[0] if last - first >= 2 else _alone(net, data[b0:b1])
-                k = int(own.argmax())
-                found.append((lo, hi, k, float(np.exp(own[k]))))
-            else:
-                short[len(found)] = (b0, b1)
-                found.append((lo, hi, -1, 0.0))
+    cuts = [0, *(e for e in ends if 0 < e < len(text)), len(text)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+
+
+def unit_scores(net: Network, texts: list[str]) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
+    """For each text its units and their log probabilities of the languages, the mean over a unit's
+    windows. Each unit stands behind as many zeros as a filter reaches beyond its first byte, so that no
+    filter sees two units. A unit whose windows disagree is cut where its best path changes; units
+    without letters say nothing (zeros)."""
+    margin, window = max(WIDTHS) - 1, BLOCK * BLOCKS
+    spans: list[tuple[int, int, int]] = []  # text, from, to
+    pieces: list[bytes] = []
+    for i, text in enumerate(texts):
+        raw = without_names(text.encode("utf-8", "replace"))
+        wide, byte = len(raw) != len(text), 0
+        for lo, hi in _units(text):
+            size = len(text[lo:hi].encode("utf-8", "replace")) if wide else hi - lo
+            spans.append((i, lo, hi))
+            pieces.append(raw[byte : byte + size])
+            byte += size
+    if not spans:
+        return [([], np.zeros((0, len(LANGUAGES)), np.float32)) for _ in texts]
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    blocks = -(-(sizes + margin) // BLOCK)
+    first = np.concatenate([[0], np.cumsum(blocks)])
+    data = fold_case(np.frombuffer(b"".join(bytes(margin) + p + bytes(b * BLOCK - margin - len(p)) for p, b in zip(pieces, blocks.tolist())), np.uint8))
+    lettered = np.add.reduceat(data >= 97, first[:-1] * BLOCK) > 0
+    windows = net.features(data)
+    owner = np.repeat(np.arange(len(spans)), blocks)
+    pooled = windows.copy()
+    for j in range(1, BLOCKS):  # windows must not reach into the next unit
+        np.maximum(windows[:-j], pooled[j:], out=windows[:-j], where=(owner[:-j] == owner[j:])[:, None])
+    counts = np.maximum(1, blocks - BLOCKS + 1)
+    chosen = np.arange(len(windows)) - first[owner] < counts[owner]
+    scores = net.log_softmax(windows[chosen])
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    means = np.add.reduceat(scores, starts[:-1]) / counts[:, None]
+    top = scores.argmax(axis=1)
+    split = np.minimum.reduceat(top, starts[:-1]) != np.maximum.reduceat(top, starts[:-1])
+    means[~lettered] = 0
+    out: list[tuple[list[tuple[int, int]], list[np.ndarray]]] = [([], []) for _ in texts]
+    for u, (i, lo, hi) in enumerate(spans):
+        units, rows = out[i]
+        if not split[u] or sizes[u] < 2 * window:
+            units.append((lo, hi))
+            rows.append(means[u])
             continue
-        inner = labels[first : max(first + 1, min(len(labels), last - BLOCKS + 1))]
-        if not len(inner):
-            inner = labels[-1:]
-        turns = [0, *(i for i in range(1, len(inner)) if inner[i] != inner[i - 1]), len(inner)]
+        inner = scores[starts[u] : starts[u + 1]]
+        labels = _path(inner, SWITCH)
+        turns = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
+        raw = texts[i][lo:hi].encode("utf-8", "replace")
         at = lo
         for t0, t1 in zip(turns, turns[1:]):
-            k = int(inner[t0])
-            stop = hi
-            if t1 < len(inner):
-                to = (first + t1) * BLOCK + window // 2
-                stop = lo + (len(raw[b0:to].decode("utf-8", "ignore")) if wide else to - b0)
-                stop = min(max(stop, at), hi)
-            found.append((at, stop, k, float(np.exp(scores[first + t0 : first + t1, k]).mean()) if first + t0 < len(scores) else float(np.exp(scores[-1, k]))))
+            stop = hi if t1 == len(labels) else min(max(lo + len(raw[: t1 * BLOCK + window // 2].decode("utf-8", "ignore")), at), hi)
+            units.append((at, stop))
+            rows.append(inner[t0:t1].mean(axis=0))
             at = stop
-    _decide_short(net, data, found, short)
-    out: list[tuple[int, int, int, float]] = []
-    for lo, hi, k, c in found:
-        if out and (k in (-1, out[-1][2]) or out[-1][2] == -1):
-            lo0, hi0, k0, c0 = out.pop()
-            weight = (hi0 - lo0) / max(1, hi - lo0) if k0 >= 0 and k >= 0 else float(k0 >= 0)
-            out.append((lo0, hi, k0 if k0 >= 0 else k, c0 * weight + c * (1 - weight)))
-        elif hi > lo:
-            out.append((lo, hi, k, c))
-    if out[0][2] == -1:
-        k = int(scores.sum(axis=0).argmax())
-        out[0] = (*out[0][:2], k, float(np.exp(scores[:, k]).mean()))
-    return [(lo, hi, LANGUAGES[k], c) for lo, hi, k, c in out]
-
-
-def long_enough(piece: str, language: str) -> bool:
-    """Whether a segment is a run that counts: 40 characters, 20 for Chinese, blanks trimmed."""
-    return len(piece.strip()) >= (MIN_RUN_WIDE if language == "zh" else MIN_RUN)
+    return [(units, np.array(rows).reshape(len(rows), len(LANGUAGES))) for units, rows in out]
+
+
+def segment_batch(net: Network, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+    """Segments (from, to, language, confidence) of each text, in characters, tiling the text. The
+    confidence is the mean probability of the segment's language over its units, weighted by length."""
+    out = []
+    for units, scores in unit_scores(net, texts):
+        found: list[tuple[int, int, str, float]] = []
+        if units:
+            labels = _path(scores, TURN)
+            turns = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
+            for t0, t1 in zip(turns, turns[1:]):
+                k = int(labels[t0])
+                weights = np.array([hi - lo for lo, hi in units[t0:t1]], float)
+                found.append((units[t0][0], units[t1 - 1][1], LANGUAGES[k], float((np.exp(scores[t0:t1, k]) * weights).sum() / max(1.0, weights.sum()))))
+        out.append([s for s in found if s[1] > s[0]])
+    return out
+
+
+def _prose(sections: DataFrame, types: tuple[str, ...] = ("paragraph", "blockquote")) -> DataFrame:
+    return sections.where(F.col("type").isin(*types) & F.col("content").isNotNull() & (F.col("content") != "") & F.col("doc_id").isNotNull()).select("doc_id", "section_index", "content")
 
 
 def section_segments(sections: DataFrame, net: Network, types: tuple[str, ...] = ("paragraph", "blockquote")) -> DataFrame:
@@ -373,8 +430,7 @@ def section_segments(sections: DataFrame, net: Network, types: tuple[str, ...] =
                 out = [(d, p, *s) for d, p, segs in zip(docs[lo : lo + 512], places[lo : lo + 512], segment_batch(shared.value, texts[lo : lo + 512])) for s in segs]
                 yield pd.DataFrame(out, columns=["doc_id", "section_index", "start", "end", "language", "confidence"])
 
-    rows = sections.where(F.col("type").isin(*types) & F.col("content").isNotNull() & (F.col("content") != "") & F.col("doc_id").isNotNull()).select("doc_id", "section_index", "content")
-    return rows.mapInPandas(run, "doc_id string, section_index int, start int, end int, language string, confidence double")
+    return _prose(sections, types).mapInPandas(run, "doc_id string, section_index int, start int, end int, language string, confidence double")
 
 
 def item_labels(items: DataFrame) -> DataFrame:

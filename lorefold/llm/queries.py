@@ -11,6 +11,11 @@ from lorefold.session import table as t
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def _network(s: SparkSession, d: str) -> language.Network:
+    return language.fit(t(s, d, "lang_samples"), t(s, d, "document_sections"), t(s, d, "knowledge_items"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: template_residue.residue_cases(t(s, d, "page_snapshots"), t(s, d, "rawdocs")),
     "p1_kept": lambda s, d: template_residue.without_residue(t(s, d, "page_snapshots"), t(s, d, "rawdocs")).select("rawdoc_id", "page_url", "text"),
@@ -23,9 +28,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")).select("chunk_id").distinct(),
     "p5_pieces": lambda s, d: splitting.chunk_pieces(t(s, d, "chunks")),
     "p5_sections": lambda s, d: splitting.section_pieces(t(s, d, "document_sections")),
-    "p6_found": lambda s, d: language.mislabelled_sections(t(s, d, "document_sections"), t(s, d, "knowledge_items"), language.fit(t(s, d, "lang_samples"))),
-    "p6_segments": lambda s, d: language.section_segments(t(s, d, "document_sections"), language.fit(t(s, d, "lang_samples"))),
-    "p6_documents": lambda s, d: language.document_languages(t(s, d, "document_sections"), language.fit(t(s, d, "lang_samples"))),
+    "p6_found": lambda s, d: language.mislabelled_sections(t(s, d, "document_sections"), t(s, d, "knowledge_items"), _network(s, d)),
+    "p6_segments": lambda s, d: language.section_segments(t(s, d, "document_sections"), _network(s, d)),
+    "p6_documents": lambda s, d: language.document_languages(t(s, d, "document_sections"), _network(s, d)),
     "p8_containers": lambda s, d: packing.pack(packing.token_lengths(t(s, d, "documents"))),
     "p9_found": lambda s, d: leakage.leaks(t(s, d, "documents"), t(s, d, "eval_items")).select("doc_id", "eval_id"),
     "p9_clean": lambda s, d: leakage.without_leaks(t(s, d, "documents"), t(s, d, "eval_items")),
