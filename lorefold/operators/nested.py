@@ -11,12 +11,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorefold.operators.latest import holding_rows
+from lorefold.session import shared_path
 
 
 @dataclass(frozen=True)
@@ -110,11 +112,11 @@ def _child_fields(tree: tuple[Node, ...]) -> dict[str, tuple[str, ...]]:
     return out
 
 
-def flatten(df: DataFrame, key: str, payload: str, tree: tuple[Node, ...] = DOCUMENT, with_fields: bool = True) -> DataFrame:
-    """(root, tag, id, parent_id, path, record): one row per child record of each payload.
+def flatten(df: DataFrame, key: str, payload: str, tree: tuple[Node, ...] = DOCUMENT) -> DataFrame:
+    """(root, tag, id, parent_id, place, record): one row per child record of each payload.
 
     id is the root key and the record's place, as in d7/section:2/item:0; parent_id is the id of
-    the record around it, for the outermost ones the root key. path holds the positions only.
+    the record around it, for the outermost ones the root key. place holds the positions only.
     Null keys and payloads, unreadable payloads and payloads that are no object have no records;
     unknown fields stay in `record`. Repeated rows give repeated records: pass holding rows. Columns
     other than key and payload are not read."""
@@ -130,25 +132,35 @@ def flatten(df: DataFrame, key: str, payload: str, tree: tuple[Node, ...] = DOCU
                 names = {(): k}
                 for tag, path, parent, record in visit(root, tree):
                     names[path] = f"{names[parent]}/{tag}:{path[-1]}"
-                    out.append((k, tag, names[path], names[parent], list(path[1::2]), own_fields(record, fields[tag]) if with_fields else None))
+                    out.append((k, tag, names[path], names[parent], list(path[1::2]), own_fields(record, fields[tag])))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["root", "tag", "id", "parent_id", "path", "record"])
+                    yield pd.DataFrame(out, columns=["root", "tag", "id", "parent_id", "place", "record"])
                     out = []
-            yield pd.DataFrame(out, columns=["root", "tag", "id", "parent_id", "path", "record"])
+            yield pd.DataFrame(out, columns=["root", "tag", "id", "parent_id", "place", "record"])
 
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(payload).alias("p")).where("k is not null and p is not null")
-    return rows.mapInPandas(run, "root string, tag string, id string, parent_id string, path array<int>, record string")
+    return rows.mapInPandas(run, "root string, tag string, id string, parent_id string, place array<int>, record string")
 
 
-def document_records(documents: DataFrame, with_fields: bool = True) -> DataFrame:
-    """Child records of the holding row of each knowledge document."""
+def document_tables(documents: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
+    """The flat tables of the holding row of each knowledge document, by tag. They are written once,
+    one folder per tag, to `path` or a folder of their own in the shared one, and read back with their schemas."""
     held = holding_rows(documents, ["doc_id"], "written_at", ["payload"])
-    return flatten(held, "doc_id", "payload", with_fields=with_fields)
+    spark = documents.sparkSession
+    path = path or shared_path(spark, "records")
+    write_tables(flatten(held, "doc_id", "payload"), path)
+    return {tag: read_table(spark, path, tag) for tag in SCHEMAS}
+
+
+def all_records(tables: dict[str, DataFrame]) -> DataFrame:
+    """(tag, root, id, parent_id, place): the keys of all tables."""
+    rows = [t.select(F.lit(tag).alias("tag"), "root", "id", "parent_id", "place") for tag, t in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def record_places(records: DataFrame) -> DataFrame:
     """(doc_id, kind, section_index, pos, subpos) of document records; unused numbers are -1."""
-    at = lambda i: F.coalesce(F.get("path", F.lit(i)), F.lit(-1))
+    at = lambda i: F.coalesce(F.get("place", F.lit(i)), F.lit(-1))
     in_section = F.col("tag").isin("section", "item", "asset", "subitem")
     return records.select(
         F.col("root").alias("doc_id"),
@@ -167,6 +179,6 @@ def write_tables(records: DataFrame, path: str) -> None:
 def read_table(spark: SparkSession, path: str, tag: str, schema: str | None = None) -> DataFrame:
     """One flat table: keys, positions and the columns of its schema. Fields of another type than
     the schema's come back as null; an absent partition is an empty table."""
-    rows = spark.read.schema("root string, id string, parent_id string, path array<int>, record string, tag string").parquet(path).where(F.col("tag") == tag)
+    rows = spark.read.schema("root string, id string, parent_id string, place array<int>, record string, tag string").parquet(path).where(F.col("tag") == tag)
     parsed = F.from_json("record", schema or SCHEMAS[tag])
-    return rows.select("root", "id", "parent_id", "path", parsed.alias("_r")).select("root", "id", "parent_id", "path", "_r.*")
+    return rows.select("root", "id", "parent_id", "place", parsed.alias("_r")).select("root", "id", "parent_id", "place", "_r.*")

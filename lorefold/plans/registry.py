@@ -11,8 +11,8 @@ from lorefold.plans import content, details, extraction, library
 from lorefold.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p7_found": lambda s, d: nested.record_places(nested.document_records(t(s, d, "knowledge_documents"), with_fields=False)),
-    "p7_records": lambda s, d: nested.document_records(t(s, d, "knowledge_documents")),
+    "p7_found": lambda s, d: nested.record_places(nested.all_records(nested.document_tables(t(s, d, "knowledge_documents")))),
+    "p7_records": lambda s, d: nested.all_records(nested.document_tables(t(s, d, "knowledge_documents"))).drop("place"),
 }
 QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES | details.QUERIES
 
@@ -39,6 +39,11 @@ ORACLE: dict[str, str] = {
     " select doc_id, 'section' kind, " + _CHILD("si", -1, -1) + " from sec union all select doc_id, 'item', " + _CHILD("si", "pi", -1) + " from item union all select doc_id, 'asset', " + _CHILD("si", "i", -1) + " from " + _entries("sec", "doc_id, si", "a")
     + " union all select doc_id, 'subitem', " + _CHILD("si", "pi", "i") + " from " + _entries("item", "doc_id, si, pi", "it") + " union all select doc_id, 'reference', " + _CHILD(-1, "ri", -1) + " from ref union all select doc_id, 'block', " + _CHILD(-1, "ri", "i") + " from " + _entries("ref", "doc_id, ri", "b"),
 }
+ORACLE["p7_records"] = (
+    "select tag, root, concat(parent_id, '/', tag, ':', place) id, parent_id from (select kind tag, doc_id root, case when kind in ('section', 'reference') then doc_id when kind in ('item', 'asset') then concat(doc_id, '/section:', section_index)"
+    " when kind = 'subitem' then concat(doc_id, '/section:', section_index, '/item:', pos) else concat(doc_id, '/reference:', pos) end parent_id, case when kind = 'section' then section_index when kind in ('subitem', 'block') then subpos else pos end place"
+    f" from ({ORACLE['p7_found']}))"
+)
 ORACLE |= content.ORACLE | library.ORACLE | extraction.ORACLE | details.ORACLE
 
 

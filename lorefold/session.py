@@ -41,19 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def materialise(df: DataFrame, name: str, partitions_by: list[str] | None = None) -> DataFrame:
     """Write df as a zstd Parquet table in the shared folder and read it back. This cuts the
     lineage: the files survive lost executors, and later plans start from a scan with known
-    sizes. The folder is removed when the application ends."""
+    sizes."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     writer = df.write.option("compression", "zstd")
     if partitions_by:
         writer = writer.partitionBy(*partitions_by)
     writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

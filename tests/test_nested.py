@@ -47,7 +47,7 @@ def test_parents_and_tables(spark, tmp_path):
 def test_holding_payload(spark):
     rows = [("d", json.dumps(DOC), 1), ("d", '{"sections": [{}]}', 2), ("d", '{"sections": [{}]}', 2)]
     df = spark.createDataFrame(rows, "doc_id string, payload string, written_at int")
-    assert nested.document_records(df).count() == 1
+    assert nested.all_records(nested.document_tables(df)).count() == 1
 
 
 texts = st.text("ab{[\"n1", max_size=4)
