@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: template_residue.residue_cases(t(s, d, "page_snapshots"), t(s, d, "rawdocs")),
     "p1_kept": lambda s, d: template_residue.without_residue(t(s, d, "page_snapshots"), t(s, d, "rawdocs")).select("rawdoc_id", "page_url", "text"),
     "p2_found": lambda s, d: repeated_lines.repeated_places(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
-    "p2_sequences": lambda s, d: repeated_lines.frequent_sequences(repeated_lines.site_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items"))),
+    "p2_sequences": lambda s, d: repeated_lines.site_sequences(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
     "p2_clean": lambda s, d: repeated_lines.without_repeated_lines(t(s, d, "document_sections"), t(s, d, "knowledge_items")),
     "p3_found": lambda s, d: near_duplicates.similar_documents(t(s, d, "document_sections")).select("doc_id_a", "doc_id_b"),
     "p3_groups": lambda s, d: near_duplicates.near_duplicate_groups(t(s, d, "document_sections")),

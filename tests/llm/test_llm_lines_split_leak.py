@@ -61,7 +61,7 @@ def test_sequences_equal_brute_force(spark):
     items = [(f"i{d}", f"d{d}", f"https://s.example/{d}", AT, "x") for d in range(8)]
     seqs = ["abc", "abc", "acb", "ab", "bab", "abca", "c", "ab"]
     rows = [(f"d{d}", 0, "paragraph", "\n".join(s)) for d, s in enumerate(seqs)]
-    found = repeated_lines.frequent_sequences(repeated_lines.site_lines(sections(spark, rows), spark.createDataFrame(items, ITEM)), min_docs=3, max_length=3).collect()
+    lines = repeated_lines.site_lines(sections(spark, rows), spark.createDataFrame(items, ITEM))
 
     def holds(s, p):
         at = 0
@@ -73,7 +73,19 @@ def test_sequences_equal_brute_force(spark):
 
     patterns = [a for a in "abc"] + [a + b for a in "abc" for b in "abc"] + [a + b + c for a in "abc" for b in "abc" for c in "abc"]
     want = sorted((len(p), n) for p in patterns if (n := sum(holds(s, p) for s in seqs)) >= 3)
-    assert sorted((len(r.pattern), r.docs) for r in found) == want
+    for local in (100, 3, 0):  # grown in one task, in part over the cluster, wholly over the cluster
+        found = repeated_lines.frequent_sequences(lines, min_docs=3, local_lines=local).collect()
+        assert sorted((len(r.pattern), r.docs) for r in found) == want
+
+
+def test_long_copies_are_one_sequence(spark):
+    """Forty lines that six documents share have 2^40 frequent subsequences; they are one symbol."""
+    items = [(f"i{d}", f"d{d}", f"https://s.example/{d}", AT, "x") for d in range(7)]
+    rows = [(f"d{d}", n, "paragraph", f"own {'x' * d}\nline {'y' * n}") for d in range(6) for n in range(40)]
+    rows += [("d6", 0, "paragraph", "nothing of it")]
+    found = repeated_lines.site_sequences(sections(spark, rows), spark.createDataFrame(items, ITEM)).collect()
+    assert [(len(r.pattern), r.docs) for r in found] == [(40, 6)]
+    assert repeated_lines.repeated_places(sections(spark, rows), spark.createDataFrame(items, ITEM)).count() == 240
 
 
 @settings(max_examples=150, deadline=None)
