@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorefold.functions.text import host_key
-from lorefold.llm.template_residue import _BYLINE, _FURNITURE, _TRAILER, article_weight, evidence, has_placeholder, masked, page_keys, page_lines, site_name
+from lorefold.llm.template_residue import _BYLINE, _FURNITURE, _TRAILER, article_weight, by_sentences, evidence, has_placeholder, masked, page_keys, page_lines, site_name
 from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
@@ -227,7 +227,11 @@ def _side_ancestor_kept(page: Page, at: int, keep: set[int], side: list[bool]) -
 
 def side_line(line: str) -> bool:
     """Byline, sharing, notice, advertisement, legal or skip line."""
-    return len(line) < 200 and bool(_SIDE_LINE.search(line) or _BYLINE.match(line))
+    return bool(_BYLINE.match(line)) or by_sentences(line, _side_sentence) is not None
+
+
+def _side_sentence(sentence: str) -> str | None:
+    return "side" if _SIDE_LINE.search(sentence) else None
 
 
 def main_lines(source: str | None, text: str, title: str | None = None) -> list[int]:
@@ -237,40 +241,48 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
     page = Page(source) if source else None
     chosen: list[int] = []
     tags: dict[int, str] = {}
-    if page is not None and page.text and len("".join(page.text)) * 3 >= len(text):
+    marks: list[tuple[int, bool | None]] = []  # of each line: kept by tree scoring, left out, or not in the markup
+    if page is not None and page.text:
         kept = main_blocks(page, title)
         where: dict[str, list[int]] = {}
-        for i, t in enumerate(page.text):
-            where.setdefault(_key(t), []).append(i)
-        pointer, marks = 0, []
+        heads: dict[str, list[int]] = {}
+        for i, t in enumerate(map(_key, page.text)):
+            where.setdefault(t, []).append(i)
+            heads.setdefault(t[:4], []).append(i)
+        pointer = 0
         for no, line in enumerate(lines):
             key = _key(line)
             if not key:
                 continue
             at = next((i for i in where.get(key, ()) if i >= pointer), None)
             if at is None and key not in where:
-                at = next((i for i in range(pointer, min(pointer + 4, len(page.text))) if key.startswith(_key(page.text[i])) or _key(page.text[i]).startswith(key)), None)
+                at = next((i for i in heads.get(key[:4], ()) if i >= pointer and (key.startswith(_key(page.text[i])) or _key(page.text[i]).startswith(key))), None)
             if at is not None:
                 pointer = at + (1 if key == _key(page.text[at]) else 0)
                 tags[no] = page.tag[page.block_node[at]]
-                marks.append((no, kept[at]))
-            else:
-                marks.append((no, None))
-        known = [k for _, k in marks]
-        for j, (no, k) in enumerate(marks):
-            if k is None:
-                before = next((x for x in reversed(known[:j]) if x is not None), False)
-                after = next((x for x in known[j + 1 :] if x is not None), False)
-                k = before and after
-            if k:
-                chosen.append(no)
+            marks.append((no, None if at is None else kept[at]))
     else:
-        start = next((i for i, s in enumerate(lines) if title and s.strip() == title), None)
-        if start is None:
-            start = _untitled_start(lines)
-        if start is None:
-            return []
-        chosen = [i for i in range(start, len(lines)) if lines[i].strip()]
+        marks = [(no, None) for no, line in enumerate(lines) if line.strip()]
+    found = any(k for _, k in marks)
+    j = 0
+    while j < len(marks):
+        to = j + 1
+        if marks[j][1] is None:  # a run of lines that the markup does not hold
+            while to < len(marks) and marks[to][1] is None:
+                to += 1
+            run = [no for no, _ in marks[j:to]]
+            first = next((no for no in run if title and lines[no].strip() == title), None)
+            if first is None and not found:
+                first = _untitled_start(lines, run)
+            if first is not None:
+                chosen += [no for no in run if no >= first]
+            elif j and to < len(marks) and marks[j - 1][1] and marks[to][1]:
+                chosen += run
+        elif marks[j][1]:
+            chosen.append(marks[j][0])
+        j = to
+    if not chosen:
+        return []
     # what follows a header of comments or other pages is not the article; a header may stand before
     # the article in the order of the source, so only those behind its title count, if it is kept
     start = next((no for no in chosen if title and _clean(lines[no]) == title), None)
@@ -294,10 +306,9 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
     return out if weight >= 2 else []
 
 
-def _untitled_start(lines: list[str]) -> int | None:
-    """Where an article begins whose title is not known: at the first line of prose or byline, or the
-    heading-like lines right above it."""
-    shown = [no for no, line in enumerate(lines) if line.strip()]
+def _untitled_start(lines: list[str], shown: list[int]) -> int | None:
+    """Where, in a run of lines, an article begins whose title is not known: at the first line of prose or
+    byline, or the heading-like lines right above it."""
     weights = [0 if evidence(s) or has_placeholder(s) or (side_line(s) and article_weight(s) < 2) else article_weight(s) for s in (_clean(lines[no]) for no in shown)]
     first = next((i for i, w in enumerate(weights) if w == 2), None)
     if first is None or any(_TRAILER.search(_clean(lines[no])) for no in shown[:first]):

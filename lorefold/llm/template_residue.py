@@ -12,8 +12,9 @@ the lines of captures with evidence are then joined to the counts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, lru_cache
+from typing import TypeVar
 from urllib.parse import unquote
 
 import ahocorasick
@@ -25,6 +26,8 @@ from lorefold.functions.text import host_key, line_key
 from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
+T = TypeVar("T")
+
 # A line is boilerplate if it stands on MIN_PAGES pages of its host and MIN_SHARE of them, or, with the
 # site's own name masked, on pages of MIN_HOSTS hosts.
 MIN_PAGES, MIN_SHARE, MIN_HOSTS = 4, 0.01, 10
@@ -152,9 +155,31 @@ def evidence(line: str) -> str | None:
     low = s.lower()
     if next(_stems().iter(low), None) is None and not (len(s) < 80 and re.search(r"(?<!\d)\d{3}(?!\d)", s)):
         return None
-    if len(s) <= 160:
-        return _message(s)
-    return "filler" if _is_latin(low) else None
+    if _is_latin(low):
+        return "filler"
+    return by_sentences(s, _message)
+
+
+# The share of a line's characters that sentences of one kind must fill, and the length up to which a line
+# is taken for one sentence.
+SENTENCE_SHARE, ONE_SENTENCE = 0.8, 160
+_SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|(?<=[。！？])\s*")
+
+
+def by_sentences(line: str, kind_of: Callable[[str], T | None]) -> T | None:
+    """The kind of a line: that of the line if it is short enough for one sentence, else the one whose sentences
+    fill SENTENCE_SHARE of it."""
+    if len(line) <= ONE_SENTENCE:
+        return kind_of(line)
+    chars: dict[T, int] = {}
+    parts = [p for p in _SENTENCE_END.split(line) if p]
+    for p in parts:
+        kind = kind_of(p)
+        if kind:
+            chars[kind] = chars.get(kind, 0) + len(p)
+    if not chars:
+        return None
+    return max(chars, key=chars.__getitem__) if sum(chars.values()) >= SENTENCE_SHARE * sum(map(len, parts)) else None
 
 
 def _is_latin(low: str) -> bool:

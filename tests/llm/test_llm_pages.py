@@ -98,3 +98,20 @@ def test_captures_without_a_host_are_one_host(spark):
     snaps = spark.createDataFrame(rows, SNAP)
     raw = spark.createDataFrame([], "rawdoc_id string, source_uri string")
     assert [r.rawdoc_id for r in tr.residue_cases(snaps, raw).collect()] == ["e"]
+
+
+def test_messages_longer_than_a_sentence():
+    refusal = "Access denied for your address. " * 12
+    assert tr.evidence(refusal.strip()) == "error"
+    assert tr.evidence("Please enable JavaScript to go on. " * 9) == "script"
+    assert tr.evidence(("The index grows slowly and the reader waits for it. " * 8) + "Access denied.") is None
+    notice = "We use cookies to measure how often this page is read and by whom. " * 6
+    assert main_content.side_line(notice.strip()) == main_content.side_line(notice[:66])
+
+
+def test_runs_of_lines_that_the_markup_does_not_hold():
+    """A shell with some blocks of its own: the run of lines with the title is read by itself."""
+    shell = "<html><body><nav><a href='/'>Home of the pages</a></nav><div id='app'></div><footer>Made by hand in the old town hall</footer></body></html>"
+    prose = "The stale index grows slowly, and nobody in the reading room minds that it does so for years."
+    text = "\n".join(["Home of the pages", "A slow index", prose, prose + " Again.", "Made by hand in the old town hall"])
+    assert main_content.main_lines(shell, text, "A slow index") == [1, 2, 3]
