@@ -163,3 +163,16 @@ def test_item_sets_over_the_bound_are_cut(spark):
     assert len(list(leakage.automata(e, max_item_words=150))) > 1
     parts = list(leakage.automata(e, max_item_words=150))
     assert sum(len(m.runs(words_py(r.text), 13)[1]) for m in parts for r in d.collect()) == 9
+
+
+def test_leaks_of_several_automata_and_short_items(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    items = [(k, " ".join(r.choices(words, k=30))) for k in range(12)] + [(90, "only four words here")]
+    docs = [(k, " ".join([*r.choices(words, k=20), *items[k % 12][1].split()[5:25], *r.choices(words, k=20), *("only four words here".split() if k % 5 == 0 else [])])) for k in range(24)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "eval_id long, passage string")
+    one = sorted(map(tuple, leakage.leaks(d, e).collect()))
+    assert sorted(map(tuple, leakage.leaks(d, e, max_item_words=100).collect())) == one and len(one) == 24
+    short = sorted(map(tuple, leakage.leaks(d, e, whole_short=True).collect()))
+    assert short == sorted(one + [(k, 90, 4) for k in range(0, 24, 5)])
+    assert sorted(map(tuple, leakage.without_leaks(d, e, max_item_words=100).collect()), key=str) == sorted(map(tuple, leakage.without_leaks(d, e).collect()), key=str)
