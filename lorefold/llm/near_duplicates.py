@@ -33,7 +33,7 @@ from lorefold.operators.skew import salted_lookup
 from lorefold.session import materialise
 
 SHINGLE, SIMILARITY = 3, 0.6
-SLOTS, CHUNK = 1 << 21, 1 << 13
+LEAST_SLOTS, MOST_SLOTS, CHUNK = 1 << 21, 1 << 24, 1 << 13
 # Bytes of placed records that one region should hold, and population from which a pivot is divided.
 REGION_BYTES, POPULOUS = 48_000_000, 20_000
 _EPS = 1e-9
@@ -98,24 +98,44 @@ def copy_classes(words: DataFrame) -> DataFrame:
     return materialise(salted_lookup(words.select("id", "copy"), classes, ["copy"], ["id"]).select("rep", "id"), "copies")
 
 
-def populations(words: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, int, int]:
-    """(quantised populations of SLOTS hashed pivots, records, shingles in all). The table has a fixed
-    size: populations of pivots that share a slot are added up. It decides only the order in
+def slots_for(total: int) -> int:
+    """Slots of the table of populations for so many shingles in all: a power of two, eight shingles a slot
+    between the bounds."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << math.ceil(math.log2(max(1, total / 8)))))
+
+
+def without_background(q: np.ndarray) -> np.ndarray:
+    """Levels of the populations less what a slot holds on the average by mere sharing, so that in a crowded
+    table a pivot is populous only if it stands out. Level 0, one record in the whole slot, stays apart
+    from all others."""
+    background = np.exp2(np.median(q) / 8)
+    if background < 16:  # a sparse table: populations are as counted
+        return q
+    above = np.maximum(np.exp2(q / 8) - background, 2)
+    return np.where(q > 0, np.minimum(255, np.round(8 * np.log2(above))), 0).astype(np.uint8)
+
+
+def populations(words: DataFrame, size: int = SHINGLE, slots: int | None = None) -> tuple[np.ndarray, int, int]:
+    """(levels of the populations of hashed pivots, records, shingles in all). The size of the table follows the
+    data up to a bound; populations of pivots that share a slot are added up. It decides only the order in
     which regions are taken and which are divided, never which pairs are found."""
+    if slots is None:
+        slots = slots_for(words.agg(F.sum(F.size("words"))).first()[0] or 0)
+    chunk = min(CHUNK, slots)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, docs, total = np.zeros(SLOTS, np.int64), 0, 0
+        table, docs, total = np.zeros(slots, np.int64), 0, 0
         for b in batches:
             sets = [shingles(w, size) for w in b["words"]]
             docs, total = docs + len(sets), total + sum(map(len, sets))
             if sets:
-                table += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                table += np.bincount((np.concatenate(sets) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
         if total:
-            parts = [zlib.compress(table[i : i + CHUNK].astype(np.uint32).tobytes(), 1) for i in range(0, SLOTS, CHUNK)]
+            parts = [zlib.compress(table[i : i + chunk].astype(np.uint32).tobytes(), 1) for i in range(0, slots, chunk)]
             yield pd.DataFrame({"chunk": range(len(parts)), "counts": parts, "docs": [docs] + [0] * (len(parts) - 1), "total": [total] + [0] * (len(parts) - 1)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.zeros(CHUNK, np.int64)
+        s = np.zeros(chunk, np.int64)
         for c in pdf["counts"]:
             s += np.frombuffer(zlib.decompress(c), np.uint32)
         q = np.minimum(255, np.round(8 * np.log2(np.maximum(s, 1)))).astype(np.uint8)
@@ -123,10 +143,10 @@ def populations(words: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, int,
 
     schema = "chunk int, counts binary, docs bigint, total bigint"
     rows = words.select("words").mapInPandas(count, schema).groupBy("chunk").applyInPandas(add, schema).collect()
-    out = np.zeros(SLOTS, np.uint8)
+    out = np.zeros(slots, np.uint8)
     for r in rows:
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
-    return out, sum(r.docs for r in rows), sum(r.total for r in rows)
+        out[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
+    return without_background(out), sum(r.docs for r in rows), sum(r.total for r in rows)
 
 
 def sketch_bits(n: int) -> int:
@@ -176,7 +196,7 @@ def placements(words: DataFrame, table: np.ndarray, regions: int, similarity: fl
                     continue
                 bits = sketch_bits(n)
                 sketch = parity_sketch(s, bits).tobytes()
-                level = q[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+                level = q[(s & np.uint64(len(q) - 1)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[: window(n, similarity)]
                 # a pivot counted once in all its slot is in no other record: nobody can be met there
                 place = np.flatnonzero(level[order] > 0).astype(np.int32)
@@ -268,12 +288,12 @@ def join_region(pdf: pd.DataFrame, similarity: float, block: int = 2_000_000) ->
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def similar_ids(words: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+def similar_ids(words: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, slots: int | None = None) -> DataFrame:
     """(a, b, similarity): all pairs of ids, a < b, whose sets of shingles reach the similarity."""
-    table, docs, total = populations(words, size)
+    table, docs, total = populations(words, size, slots)
     spark = words.sparkSession
     # a record is in about one region per pivot of its window; each placement carries its sketch
-    volume = total * (1 - similarity) * 8 + min(docs * 64, total) * 60
+    volume = total * (1 - similarity) * 8 + min(docs * 120, total) * 60
     regions = max(spark.sparkContext.defaultParallelism, math.ceil(volume / REGION_BYTES))
     placed = placements(words, table, regions, similarity, size)
     # more partitions than regions, so that few regions share one by their hashes
@@ -316,12 +336,19 @@ def similar_documents(sections: DataFrame, similarity: float = SIMILARITY, size:
     pairs. Empty tables give an empty result; columns other than doc_id, section_index and content
     are not read."""
     words, members, pairs = similar_classes(sections, similarity, size)
-    others = members.where("id <> rep")
+    return expanded(words, members, pairs)
+
+
+def expanded(words: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All pairs of documents from classes of copies and pairs of their representatives. A large class
+    is divided by its members wherever it is joined."""
+    others = members.where("id <> rep").select("rep", F.col("id").alias("_id"))
     sides = pairs
     for side in ("a", "b"):
-        copies = sides.join(others.select(F.col("rep").alias(side), F.col("id").alias("_id")), side).withColumn(side, F.col("_id")).select("a", "b", "similarity")
+        copies = salted_lookup(others, sides.withColumnRenamed(side, "rep"), ["rep"], ["_id"]).withColumn(side, F.col("_id")).select("a", "b", "similarity")
         sides = sides.unionByName(copies)
-    within = members.select("rep", F.col("id").alias("a")).join(members.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    within = salted_lookup(members.select("rep", F.col("id").alias("a")), members.select("rep", F.col("id").alias("b")), ["rep"], ["a"])
+    within = within.where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     name = words.select("id", "doc_id")
     named = sides.unionByName(within).join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
     return named.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"), "similarity")
@@ -331,7 +358,7 @@ def connected_groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b",
     """(doc_id, group_id, links): the connected component of every document that has a pair, named by
     its smallest doc_id, and the document's number of pairs. Alternating large-star and small-star
     rounds over edges, each written to the shared folder; rounds grow with the logarithm of a
-    component's length, and a component's edges never meet in one row."""
+    component's length. A vertex with very many edges is divided wherever they are joined."""
     edges = materialise(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     links = edges.select("u").unionAll(edges.select("v")).groupBy("u").agg(F.count("*").alias("links"))
     current, before = edges, None
@@ -339,10 +366,10 @@ def connected_groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b",
         # large star: every greater neighbour is tied to the least vertex around u
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_lookup(both, least, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its lesser neighbours are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = salted_lookup(large, least, ["u"], ["v"])
         grown = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         current = materialise(grown, "star")
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -190,7 +191,8 @@ def edited_docs(n, r, length=60):
 
 @pytest.mark.parametrize(("similarity", "size"), [(0.6, 3), (0.8, 5)])
 def test_pairs_equal_brute_force(spark, similarity, size, monkeypatch):
-    monkeypatch.setattr(nd, "SLOTS", 1 << 13)
+    monkeypatch.setattr(nd, "LEAST_SLOTS", 1 << 6)  # far fewer slots than pivots
+    monkeypatch.setattr(nd, "MOST_SLOTS", 1 << 6)
     docs = edited_docs(120, random.Random(8)) | {"e": [""], "n": [None], "s": ["one two"]}
     got = nd.similar_documents(sections(spark, docs), similarity, size).collect()
     assert len(got) == len({(r.doc_id_a, r.doc_id_b) for r in got})
@@ -220,7 +222,8 @@ def test_regions_with_populous_pivots_and_small_blocks():
 
 
 def test_divided_pivots_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(nd, "SLOTS", 1 << 13)
+    monkeypatch.setattr(nd, "LEAST_SLOTS", 1 << 13)
+    monkeypatch.setattr(nd, "MOST_SLOTS", 1 << 13)
     monkeypatch.setattr(nd, "POPULOUS", 4)
     docs = edited_docs(60, random.Random(9), 30)
     words = nd.word_table(nd.document_texts(sections(spark, docs)))
@@ -277,3 +280,30 @@ def test_pairs_of_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id string, section_index int, content string")
     assert nd.similar_documents(empty).count() == 0
     assert nd.near_duplicate_groups(empty).count() == 0
+
+
+def test_a_crowded_table_does_not_multiply_placements():
+    """Slots that all hold very many rare pivots: none stands out, so none is divided; a heavy one still does."""
+    counts = np.random.default_rng(3).poisson(60_000, 1 << 12)
+    counts[5] += 50_000
+    q = np.minimum(255, np.round(8 * np.log2(counts))).astype(np.uint8)
+    level = nd.without_background(q)
+    populous = level >= int(8 * math.log2(nd.POPULOUS))
+    assert populous[5] and populous.sum() == 1
+    sparse = np.round(8 * np.log2(np.array([1, 1, 2, 3, 40_000]))).astype(np.uint8)
+    assert (nd.without_background(sparse) == sparse).all() and nd.without_background(np.r_[q, np.uint8(0)])[-1] == 0
+
+
+def test_large_classes_are_divided(spark, monkeypatch):
+    """Copies, their links to another text and a hub of many edges, each with more rows than one task may hold."""
+    from lorefold.operators import skew
+
+    monkeypatch.setattr(skew.salted_lookup, "__defaults__", ("inner", 5))
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = {f"d{k:02}": [text] for k in range(12)} | {"e1": [text + " more"], "e2": ["nothing at all like it"]}
+    rows = sections(spark, docs)
+    assert nd.similar_documents(rows).count() == 13 * 12 // 2
+    got = {(r.group_id, r.links) for r in nd.near_duplicate_groups(rows).collect()}
+    assert got == {("d00", 12)}
+    hub = spark.createDataFrame([("m", f"x{k}") for k in range(30)], "doc_id_a string, doc_id_b string")
+    assert {r.group_id for r in nd.connected_groups(hub).collect()} == {"m"}
