@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lorefold.operators.skew import salted_lookup
+from lorefold.session import materialise
 
 K1, B = 1.2, 0.75
 SEARCH_LIMIT, SEARCH_MAX = 20, 50
@@ -57,14 +58,13 @@ def bm25(post: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, key, score), higher is better. The inverse frequency is at least 1e-6. A query term
     that is in no row adds nothing; rows without any term are no hits."""
     wanted = terms.select("term").distinct()
-    hit = post.join(wanted, "term", "left_semi")
+    hit = materialise(post.join(wanted, "term", "left_semi").select("key", "term", "tf", "size"), "hits")  # counted, then scored
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    size = stats.first()  # one row
-    n, average = float(size["n"] or 0), float(size["avg_size"] or 1.0)
-    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").select("term", "query_id", (F.col("weight") * F.when(raw > 0, raw).otherwise(1e-6)).alias("w"))
+    counts = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.select("n", "avg_size", F.lit(1).alias("_one"))), "_one")
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = terms.join(counts, "term").select("term", "query_id", (F.col("weight") * F.when(raw > 0, raw).otherwise(1e-6)).alias("w"), F.coalesce("avg_size", F.lit(1.0)).alias("average"))
     joined = salted_lookup(hit, weighted, ["term"], ["key"])
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / average))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("average")))
     return joined.groupBy("query_id", "key").agg(F.sum(part).alias("score"))
 
 

@@ -1,7 +1,9 @@
 """The document store as versioned tables: snapshots, upserts, removals and states.
 
-A table is a folder of immutable snapshots; one manifest names the snapshot of every table, and a change
-to several tables becomes visible when the manifest is replaced. Writers must be alone.
+A table is a folder of immutable snapshots. Manifests are numbered; the one with the greatest number names
+the snapshot of every table, and a change to several tables becomes visible when the next manifest is renamed
+into place. None is ever overwritten, so readers always find a whole one, and a second writer that took the
+same number is refused.
 """
 
 from __future__ import annotations
@@ -28,42 +30,64 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def manifest(self) -> dict[str, str]:
-        fs, p = self._fs(f"{self.root}/manifest.json")
+    def versions(self) -> list[int]:
+        """Numbers of the manifests, the last one last."""
+        fs, p = self._fs(f"{self.root}/manifests")
         if not fs.exists(p):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def manifest(self, version: int | None = None) -> dict[str, str]:
+        """Snapshots by table, of the last manifest or the one asked for."""
+        numbers = self.versions()
+        if not numbers:
             return {}
-        return json.loads(self.spark.read.option("wholetext", True).text(str(p.toString())).first()[0])
+        fs, p = self._fs(f"{self.root}/manifests/{version or numbers[-1]:012}.json")
+        size = fs.getFileStatus(p).getLen()
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readNBytes(size)).decode())
+        finally:
+            stream.close()
 
     def read(self, table: str) -> DataFrame | None:
         version = self.manifest().get(table)
         return self.spark.read.parquet(f"{self.root}/{table}/{version}") if version else None
 
     def commit(self, tables: Mapping[str, DataFrame]) -> None:
-        """Write all new snapshots, then swap the manifest. Until then readers see the old state, and
-        a failed write leaves nothing but an unreferenced folder."""
-        new = dict(self.manifest())
+        """Write all new snapshots, then the next manifest. Until it stands readers see the old state, and
+        a failed write leaves nothing but an unreferenced folder. If another writer has
+        committed since this one read the tables, the commit is refused and changes nothing."""
+        base = (self.versions() or [0])[-1]
+        new = self.manifest(base) if base else {}
         for name, df in tables.items():
             version = f"v={uuid.uuid4().hex}"
             df.write.option("compression", "zstd").parquet(f"{self.root}/{name}/{version}")
             new[name] = version
-        fs, final = self._fs(f"{self.root}/manifest.json")
-        _, temporary = self._fs(f"{self.root}/manifest-{uuid.uuid4().hex}.json")
+        fs, final = self._fs(f"{self.root}/manifests/{base + 1:012}.json")
+        _, temporary = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
         out = fs.create(temporary, True)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(temporary, final)
-
-    def vacuum(self) -> int:
-        """Delete snapshots no manifest names; the number of folders removed."""
-        current, removed = self.manifest(), 0
-        for table, version in current.items():
+        if fs.exists(final) or not fs.rename(temporary, final):
+            fs.delete(temporary, False)
+            raise RuntimeError("another writer has committed; read the tables again and repeat the change")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete snapshots that none of the last `keep` manifests names, and older manifests; the number of folders
+        removed. Readers of those manifests are left undisturbed."""
+        numbers, removed = self.versions(), 0
+        live = {(t, v) for n in numbers[-keep:] for t, v in self.manifest(n).items()}
+        for table in {t for n in numbers for t in self.manifest(n)}:
             fs, p = self._fs(f"{self.root}/{table}")
             for status in fs.listStatus(p):
-                if status.getPath().getName() != version:
+                if (table, status.getPath().getName()) not in live:
                     fs.delete(status.getPath(), True)
                     removed += 1
+        for n in numbers[:-keep]:
+            fs, p = self._fs(f"{self.root}/manifests/{n:012}.json")
+            fs.delete(p, False)
         return removed
 
 
@@ -81,8 +105,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | No
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old and those rows of new whose key is not there; the first of equal keys in order of values."""
-    fresh = new.select(*old.columns).join(old.select(*keys), keys, "left_anti").dropDuplicates(keys)
-    return old.unionByName(fresh)
+    others = [c for c in old.columns if c not in keys]
+    fresh = new.select(*old.columns).join(old.select(*keys), keys, "left_anti")
+    first = fresh.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_f")).select(*[c if c in keys else F.col("_f").getField(c).alias(c) for c in old.columns]) if others else fresh.distinct()
+    return old.unionByName(first)
 
 
 def replace_children(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:

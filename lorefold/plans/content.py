@@ -57,11 +57,12 @@ def _batch_rows(s, d):  # noqa: ANN001, ANN202
 
 
 def _discover(s, d):  # noqa: ANN001, ANN202
-    rows = _batch_rows(s, d).withColumn("pos", F.row_number().over(W.partitionBy("job").orderBy("created_at", "item_id")))
-    start = F.first_value(u.default_path_prefix(F.col("url")), True).over(W.partitionBy("job").orderBy("pos").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rows = rows.withColumn("prefix", start)
-    unique = store.first_by(rows, ["job", "url"], ["pos"])
-    ranked = unique.withColumn("rank", F.row_number().over(W.partitionBy("job").orderBy("pos"))).where("rank <= 50")
+    rows = _batch_rows(s, d)
+    at = F.struct("created_at", "item_id")
+    start = rows.where("url is not null").groupBy("job").agg(F.min_by(u.default_path_prefix(F.col("url")), at).alias("prefix"))
+    unique = rows.groupBy("job", "url").agg(F.min(at).alias("first"))
+    # the limit is applied in each map task before the shuffle, so that a large host sends few rows
+    ranked = unique.withColumn("rank", F.row_number().over(W.partitionBy("job").orderBy("first"))).where("rank <= 50").join(start, "job", "left")
     return ranked.groupBy("job").agg(F.count("*").alias("discovered"), F.count_if(F.startswith(u.path_of(F.col("url")), F.col("prefix"))).alias("selected"))
 
 

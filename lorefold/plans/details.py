@@ -11,6 +11,7 @@ from lorefold.operators import imports
 from lorefold.operators import search as se
 from lorefold.operators import sections as sec
 from lorefold.operators import summaries as su
+from lorefold.operators.latest import holding_rows
 from lorefold.plans import views as v
 from lorefold.session import table as t
 from lorefold.sources import epub, files
@@ -58,8 +59,8 @@ QUERIES = {
     "chunk_estimates": lambda s, d: t(s, d, "chunks").where("text is not null").select("chunk_id", "text").distinct().select("chunk_id", F.length("text").alias("chars"), tx.estimate_tokens(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("hash")),
     "heading_children": _children,
     "heading_order": lambda s, d: v.sections(s, d).where("type = 'heading'").select("doc_id", "idx", F.row_number().over(W.partitionBy("doc_id").orderBy(F.coalesce("level", F.lit(0)).desc(), "idx")).alias("rank")),
-    "html_head": lambda s, d: t(s, d, "page_snapshots").where("html is not null").select("rawdoc_id", "html").dropDuplicates(["rawdoc_id"]).select("rawdoc_id", *[c.alias(k) for k, c in imports.head_metadata(F.col("html")).items()]),
-    "html_accepted": lambda s, d: files.accept_snapshots(t(s, d, "page_snapshots").select("rawdoc_id", "page_url", "html").dropDuplicates(["rawdoc_id"])).select("rawdoc_id", "error_code"),
+    "html_head": lambda s, d: holding_rows(t(s, d, "page_snapshots").where("html is not null"), ["rawdoc_id"], "captured_at", ["html"]).select("rawdoc_id", *[c.alias(k) for k, c in imports.head_metadata(F.col("html")).items()]),
+    "html_accepted": lambda s, d: files.accept_snapshots(holding_rows(t(s, d, "page_snapshots"), ["rawdoc_id"], "captured_at", ["page_url", "html"])).select("rawdoc_id", "error_code"),
     "item_states": lambda s, d: v.items(s, d).groupBy("source_type", "state").agg(F.count("*").alias("n"), F.count("normalized_url").alias("with_url")),
     "item_tags": lambda s, d: t(s, d, "knowledge_items").select(F.explode("tags").alias("tag"), "item_id").distinct().groupBy("tag").agg(F.count("*").alias("items")),
     "language_codes": lambda s, d: t(s, d, "documents").select("lang").distinct().select("lang", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(epub.LANGUAGES.items()) for x in p]), F.lower(F.trim("lang"))), F.nullif(F.lower(F.trim("lang")), F.lit(""))).alias("code")),

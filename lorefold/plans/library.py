@@ -8,8 +8,10 @@ from lorefold.functions import urls as u
 from lorefold.operators import library as lib
 from lorefold.operators import search as se
 from lorefold.operators import store
+from lorefold.operators.index import SearchIndex
+from lorefold.operators.latest import holding_rows
 from lorefold.plans import views as v
-from lorefold.session import materialise
+from lorefold.session import files_mark, shared_folder
 from lorefold.session import table as t
 
 _TOKENS = "regexp_extract_all(translate(lower(coalesce({x}, '')), '" + se.MARKED + "', '" + se.PLAIN + "'), '[\\p{{L}}\\p{{N}}]+')"
@@ -27,8 +29,22 @@ def _queries(s, d):  # noqa: ANN001, ANN202
     return t(s, d, "eval_items").select("eval_id", F.concat_ws(" ", "question", "answer").alias("query"), "passage")
 
 
+def _index(s, d):  # noqa: ANN001, ANN202
+    """The index of the documents, kept in the shared folder under what tells their files apart; built if it
+    is not there."""
+    docs = _docs(s, d)
+    index = SearchIndex(s, f"{shared_folder(s).rstrip('/')}/index-{files_mark(docs)}")
+    if not index.segments():
+        index.add(docs, "doc_id", "title", "text")
+    return index
+
+
 def _scores(s, d):  # noqa: ANN001, ANN202
-    return se.bm25(materialise(_postings(s, d), "postings"), se.corpus_statistics(_docs(s, d), "doc_id", "title", "text"), se.query_terms(_queries(s, d), "eval_id", "query"))
+    return _index(s, d).scores(se.query_terms(_queries(s, d), "eval_id", "query"))
+
+
+def _search(s, d, query):  # noqa: ANN001, ANN202
+    return _index(s, d).scores(se.query_terms(s.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("q")), "query_id", "q"))
 
 
 def _hits(s, d, limit=10):  # noqa: ANN001, ANN202
@@ -51,11 +67,11 @@ def _evaluate(s, d):  # noqa: ANN001, ANN202
     """A document is expected for an item if it holds the passage word for word."""
     docs = _docs(s, d).select(F.col("doc_id").alias("key"), se.tokens(F.col("text")).alias("ws"))
     items = _queries(s, d).select(F.col("eval_id").alias("query_id"), se.tokens(F.col("passage")).alias("pw")).where(F.size("pw") > 0)
-    # openings only find candidates
-    openings = items.select("query_id", F.least(F.size("pw"), F.lit(8)).alias("n"), F.array_join(F.slice("pw", 1, 8), " ").alias("opening"))
+    # hashes of openings only find candidates, before anything is shuffled
+    openings = items.select("query_id", F.least(F.size("pw"), F.lit(8)).alias("n"), F.xxhash64(F.slice("pw", 1, 8)).alias("opening"))
     sizes = sorted(r["n"] for r in openings.select("n").distinct().collect())  # eight at most
-    none = F.array().cast("array<string>")
-    runs = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(none)
+    none = F.array().cast("array<bigint>")
+    runs = lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.xxhash64(F.slice("ws", i, n)))).otherwise(none)
     grams = F.flatten(F.array(none, *[runs(n) for n in sizes]))
     candidates = docs.select("key", F.explode(grams).alias("opening")).join(openings.select("query_id", "opening"), "opening").select("query_id", "key").distinct()
     line = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
@@ -81,20 +97,6 @@ def _replace(s, d):  # noqa: ANN001, ANN202
     return store.replace_children(held, rebuilt, "doc_id")
 
 
-def _remove(s, d):  # noqa: ANN001, ANN202
-    items, chunks = v.items(s, d), v.chunks(s, d).select("chunk_id", "doc_id")
-    docs = items.where("active_doc_id is not null").select(F.col("active_doc_id").alias("doc_id"))
-    notes = docs.select("doc_id")
-    out = store.remove_items(items.select("item_id", "state", "active_doc_id"), docs, chunks, notes, items.where("source_type = 'epub'").select("item_id"))
-    return store.maintenance_scan(out).unionByName(out["items"].where("state = 'captured'").agg(F.count("*").alias("rows")).select(F.lit("captured").alias("table_name"), "rows"))
-
-
-def _purge(s, d):  # noqa: ANN001, ANN202
-    items = v.items(s, d).select("item_id", "active_doc_id", "source_type")
-    tables = {"items": items, "aliases": v.aliases(s, d).select("item_id", "alias_type"), "chunks": v.chunks(s, d).select("chunk_id", "doc_id"), "rawdocs": t(s, d, "rawdocs").select("rawdoc_id", "item_id").distinct()}
-    return store.maintenance_scan(store.purge_items(tables, items.where("source_type <> 'url'").select("item_id")))
-
-
 def _latest(s, d):  # noqa: ANN001, ANN202
     return store.latest_states(v.transitions(s, d), "item", ["ts", "event_id"])
 
@@ -111,7 +113,7 @@ def _skip_existing(s, d):  # noqa: ANN001, ANN202
 
 
 def _import_report(s, d):  # noqa: ANN001, ANN202
-    rows = t(s, d, "rawdocs").dropDuplicates(["rawdoc_id"])
+    rows = holding_rows(t(s, d, "rawdocs"), ["rawdoc_id"], "created_at", ["content_type", "content_length"])
     kind = F.lower(F.coalesce("content_type", F.lit("")))
     state = F.when(kind == "", "failed").when(kind.contains("text/html") | kind.contains("application/xhtml+xml") | kind.contains("epub"), "imported").otherwise("skipped")
     return lib.import_report(rows.select(state.alias("state"), F.col("content_length").alias("bytes")))
@@ -141,7 +143,7 @@ QUERIES = {
     "fts_corpus_stats": lambda s, d: se.corpus_statistics(_docs(s, d), "doc_id", "title", "text").select("n", F.round("avg_size", 6).alias("avg_size")),
     "fts_postings": lambda s, d: _postings(s, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf")),
     "bm25_batch": lambda s, d: _hits(s, d).select("query_id", "key", "rank", F.round("score", 6).alias("score")),
-    "bm25_search": lambda s, d: se.top_hits(se.bm25(_postings(s, d), se.corpus_statistics(_docs(s, d), "doc_id", "title", "text"), s.range(1).select(F.lit(0).alias("query_id"), F.explode(se.tokens(F.lit("durable archive of the second edition"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))), 20).select("key", "rank", F.round("score", 6).alias("score")),
+    "bm25_search": lambda s, d: se.top_hits(_search(s, d, "durable archive of the second edition"), 20).select("key", "rank", F.round("score", 6).alias("score")),
     "search_trace": _trace,
     "context_pack": lambda s, d: se.context_text(se.context_blocks(_ranked(s, d))).select("query_id", "citations", "used_chars", F.sha2("context", 256).alias("context_hash")),
     "retrieval_eval": lambda s, d: _evaluate(s, d).select("queries", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_3", "hit_at_5")]),
@@ -165,9 +167,6 @@ QUERIES = {
     "upsert_items": _upsert,
     "insert_missing": lambda s, d: (lambda g: store.insert_missing(store.first_by(g[0], ["item_id"], ["updated_at", "title"]).select("item_id", "state"), g[1].select("item_id", "state"), ["item_id"]))(_new_generation(s, d)),
     "replace_chunks": _replace,
-    "remove_items": _remove,
-    "purge_items": _purge,
-    "clear_parsed": lambda s, d: store.clear_parsed(v.items(s, d).select("item_id", "state", "active_doc_id")).groupBy("state").agg(F.count("*").alias("items"), F.count("active_doc_id").alias("documents")),
     "batch_state_latest": _latest,
     "batch_counters": lambda s, d: store.job_counters(_job_items(s, d), "job"),
     "recover_stale": lambda s, d: store.recover_stale(_job_items(s, d)).select("job", "item", "state", "error_code"),
@@ -207,7 +206,7 @@ ORACLE = {
     " z as (select *, used - length(pre) - length(base) bef, 6000 - (used - length(pre) - length(base)) - length(pre) room from q),"
     " k as (select *, case when length(base) <= room or room <= 12 then base else substr(base, 1, room - 12) || E'\\n[truncated]' end content from z where rank = 1 or (bef <= 6000 and (used <= 6000 or room > 12)))"
     " select query_id, count(*) citations, cast(length(string_agg(pre || content, E'\\n\\n' order by rank)) as integer) used_chars, sha256(string_agg(pre || content, E'\\n\\n' order by rank)) context_hash from k group by 1",
-    "retrieval_eval": f"with {_SCORES}, ex as (select e.eval_id query_id, d.doc_id \"key\" from eval_items e join (select doc_id, ' ' || array_to_string({_TOKENS.format(x='text')}, ' ') || ' ' line from documents) d on contains(d.line, ' ' || array_to_string(({_TOKENS.format(x='passage')})[1:8], ' ') || ' ')),"
+    "retrieval_eval": f"with {_SCORES}, ex as (select e.eval_id query_id, d.doc_id \"key\" from eval_items e join (select doc_id, ' ' || array_to_string({_TOKENS.format(x='text')}, ' ') || ' ' line from documents) d on contains(d.line, ' ' || array_to_string({_TOKENS.format(x='passage')}, ' ') || ' ')),"
     ' b as (select ex.query_id, min(h.rank) best from ex left join hits h on h.query_id = ex.query_id and h."key" = ex."key" group by 1) select count(*) queries, ' + ", ".join(f"round(coalesce(avg(case when best <= {k} then 1.0 else 0.0 end), 0), 6) hit_at_{k}" for k in (1, 3, 5)) + " from b",
     "alias_pivot": f"with {v.ITEMS} select item_id, normalized_url, original_url, canonical_url from items where coalesce(normalized_url, original_url, canonical_url) is not null",
     "item_list_recent": f"with {v.ITEMS} select item_id, title, case when state in ('parsed', 'stale', 'archived', 'active') then 'parsed' else 'captured' end as state from items order by coalesce(parsed_at, updated_at) desc, item_id limit 50",
@@ -230,11 +229,6 @@ ORACLE = {
     "upsert_items": f"with {_OLDNEW}, n as (select *, row_number() over (partition by item_id order by updated_at desc) rn from new) select coalesce(n.item_id, old.item_id) item_id, case when n.item_id is not null then n.title else old.title end title, case when n.item_id is not null then n.state else old.state end as state from old full join (select * from n where rn = 1) n on n.item_id = old.item_id",
     "insert_missing": f"with {_OLDNEW} select item_id, state from old union all select distinct item_id, state from new where item_id not in (select item_id from old)",
     "replace_chunks": f"with {v.CHUNKS}, nw as (select doc_id || ':new' chunk_id, doc_id, chunk_index - 1 chunk_index from held where chunk_index = 1) select chunk_id, doc_id, chunk_index from held where doc_id not in (select doc_id from nw) union all select * from nw",
-    "remove_items": f"with {v.ITEMS}, {v.CHUNKS}, gone as (select item_id, active_doc_id doc_id from items where source_type = 'epub' and active_doc_id is not null), dl as (select active_doc_id doc_id from items where active_doc_id is not null and active_doc_id not in (select doc_id from gone))"
-    " select 'items' table_name, count(*) as rows from items union all select 'documents', count(*) from dl union all select 'chunks', count(*) from held where doc_id not in (select doc_id from gone) union all select 'annotations', count(*) from dl union all select 'captured', count(*) from items where state = 'captured' or item_id in (select item_id from gone)",
-    "purge_items": f"with {v.ITEMS}, {v.ALIASES}, {v.CHUNKS}, g as (select item_id, active_doc_id from items where source_type <> 'url') select 'items' table_name, count(*) as rows from items where item_id not in (select item_id from g) union all select 'aliases', count(*) from aliases where item_id not in (select item_id from g)"
-    " union all select 'chunks', count(*) from held where doc_id not in (select active_doc_id from g where active_doc_id is not null) union all select 'rawdocs', count(*) from (select distinct rawdoc_id, item_id from rawdocs) where item_id not in (select item_id from g)",
-    "clear_parsed": f"with {v.ITEMS} select 'captured' as state, count(*) items, cast(0 as bigint) documents from items",
     "batch_state_latest": f"with {v.TRANSITIONS} select item, arg_max(state, (ts, event_id)) as state, count(*) filter (where state = 'fetching') attempts, count(*) transitions from transitions group by item",
     "batch_counters": f"with {_JI} select job, count(*) items, count(*) filter (where state = 'saved') saved, count(*) filter (where state = 'skipped') skipped, count(*) filter (where state = 'failed') failed, count(*) filter (where state = 'cancelled') cancelled from latest group by job",
     "recover_stale": f"with {_JI} select job, item, case when state in ('fetching', 'parsing', 'saving') then 'failed' else state end as state, case when state in ('fetching', 'parsing', 'saving') then 'stale' end error_code from latest",

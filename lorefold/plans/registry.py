@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorefold.operators import nested
-from lorefold.plans import content, details, extraction, library
+from lorefold.plans import content, details, extraction, library, saving
 from lorefold.session import table as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": lambda s, d: nested.record_places(nested.all_records(nested.document_tables(t(s, d, "knowledge_documents")))),
     "p7_records": lambda s, d: nested.all_records(nested.document_tables(t(s, d, "knowledge_documents"))).drop("place"),
 }
-QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES | details.QUERIES
+QUERIES |= content.QUERIES | library.QUERIES | extraction.QUERIES | details.QUERIES | saving.QUERIES
 
 
 def _unwrap(x: str) -> str:
@@ -44,7 +44,7 @@ ORACLE["p7_records"] = (
     " when kind = 'subitem' then concat(doc_id, '/section:', section_index, '/item:', pos) else concat(doc_id, '/reference:', pos) end parent_id, case when kind = 'section' then section_index when kind in ('subitem', 'block') then subpos else pos end place"
     f" from ({ORACLE['p7_found']}))"
 )
-ORACLE |= content.ORACLE | library.ORACLE | extraction.ORACLE | details.ORACLE
+ORACLE |= content.ORACLE | library.ORACLE | extraction.ORACLE | details.ORACLE | saving.ORACLE
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

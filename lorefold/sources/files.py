@@ -134,5 +134,5 @@ def asset_rows(files: DataFrame) -> DataFrame:
 
 def latest_capture(rawdocs: DataFrame) -> DataFrame:
     """The last written capture of each item, for reading again."""
-    w = W.partitionBy("item_id").orderBy(F.col("created_at").desc(), "rawdoc_id")
-    return rawdocs.dropDuplicates(["rawdoc_id"]).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    w = W.partitionBy("item_id").orderBy(F.col("created_at").desc(), "rawdoc_id", F.xxhash64(*[c for c, kind in rawdocs.dtypes if not kind.startswith("map")]))
+    return rawdocs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
