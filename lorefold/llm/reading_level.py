@@ -102,7 +102,7 @@ def fit_weights(features: DataFrame, labels: DataFrame, max_labels: int = MAX_LA
     per document, over at most max_labels labels, those with the smallest fingerprints."""
     bounded = labels.where("doc_id is not null and reading_level is not null").orderBy(F.xxhash64("doc_id", "rater"), "doc_id", "rater", "reading_level").limit(max_labels)
     means = bounded.groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
-    rows = features.where("words > 0").join(F.broadcast(means), "doc_id").select("unfamiliar", (F.col("words") / F.col("sentences")).alias("length"), "level").dropDuplicates().collect()
+    rows = features.where("words > 0").join(F.broadcast(means), "doc_id").select("doc_id", "unfamiliar", (F.col("words") / F.col("sentences")).alias("length"), "level").distinct().drop("doc_id").collect()
     if len(rows) < 8:
         return [0.0, 2.0, 0.1, 0.5]
     u, n, y = (np.array([r[i] for r in rows], float) for i in range(3))

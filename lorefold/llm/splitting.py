@@ -136,7 +136,7 @@ def chunk_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
 
 def section_pieces(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the section contents that exceed the limit, repeats removed."""
-    long = sections.where(F.length("content") > limit).select("doc_id", "section_index", "content").dropDuplicates(["doc_id", "section_index"])
+    long = sections.where(F.length("content") > limit).select("doc_id", "section_index", "content").distinct()
     return split_items(long, ["doc_id", "section_index"], "content", limit, overlap)
 
 
