@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorefold.operators.latest import holding_rows
@@ -289,12 +289,19 @@ def fit(samples: DataFrame, sections: DataFrame | None = None, items: DataFrame
     if sections is None or items is None:
         return Network.average(nets)
     order = F.xxhash64("doc_id", "section_index", "content")
-    some = _prose(sections).orderBy(order, "doc_id", "section_index", "content").limit(max_rows)
+    some = _least(_prose(sections), order, max_rows).orderBy(order, "doc_id", "section_index", "content").limit(max_rows)
     more = item_labels(items).where("label is not null").join(F.broadcast(some), "doc_id").orderBy(order, "doc_id", "section_index", "content").select("content", "label").collect()
     own, own_labels = [r.content for r in more], [r.label for r in more]
     return Network.average(_kept_networks(spark, mark(texts, labels, own, own_labels), lambda: train_again(nets, texts, labels, own, own_labels, seeds, steps)))
 
 
+def _least(rows: DataFrame, order: Column, most: int) -> DataFrame:
+    """The rows whose fingerprint is so small that about four times `most` of them remain, so that no task sorts what
+    grows with the table; all rows if they are few."""
+    share = 4 * most / max(1, rows.count())
+    return rows.where(order < F.lit(int(-(2**63) + share * 2**64))) if share < 1 else rows
+
+
 def train_again(nets: list[Network], texts: list[str], labels: list[str], own: list[str], own_labels: list[str], seeds: tuple[int, ...] = SEEDS, steps: int = STEPS) -> list[Network]:
     """The networks trained further with the confirmed sentences of `own`; the labelled samples make up about a third of
     what is drawn of each language."""
