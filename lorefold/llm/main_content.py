@@ -246,7 +246,8 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
         kept = main_blocks(page, title)
         where: dict[str, list[int]] = {}
         heads: dict[str, list[int]] = {}
-        for i, t in enumerate(map(_key, page.text)):
+        keys = [_key(t) for t in page.text]
+        for i, t in enumerate(keys):
             where.setdefault(t, []).append(i)
             heads.setdefault(t[:4], []).append(i)
         pointer = 0
@@ -256,9 +257,9 @@ def main_lines(source: str | None, text: str, title: str | None = None) -> list[
                 continue
             at = next((i for i in where.get(key, ()) if i >= pointer), None)
             if at is None and key not in where:
-                at = next((i for i in heads.get(key[:4], ()) if i >= pointer and (key.startswith(_key(page.text[i])) or _key(page.text[i]).startswith(key))), None)
+                at = next((i for i in heads.get(key[:4], ()) if i >= pointer and (key.startswith(keys[i]) or keys[i].startswith(key))), None)
             if at is not None:
-                pointer = at + (1 if key == _key(page.text[at]) else 0)
+                pointer = at + (1 if key == keys[at] else 0)
                 tags[no] = page.tag[page.block_node[at]]
             marks.append((no, None if at is None else kept[at]))
     else:
@@ -372,6 +373,7 @@ def main_content(snapshots: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     found = candidate_lines(snapshots)
     here, there = site_boilerplate(snapshots, min_pages, min_share, min_hosts)
     keyed = found.select("rawdoc_id", "host", "line_no", "is_title", "line", site_name(F.col("host")).alias("name")).select("rawdoc_id", "host", "line_no", "is_title", F.xxhash64(masked(F.col("line"), F.col("name"))).alias("key"))
+    keyed = materialise(keyed, "kept-lines")  # the lookups count their keys; pages are parsed once
     marked = salted_lookup(keyed, here.withColumn("here", F.lit(True)), ["host", "key"], ["rawdoc_id"], how="left")
     marked = salted_lookup(marked, there.withColumn("there", F.lit(True)), ["key"], ["rawdoc_id"], how="left")
     return marked.where("is_title or (here is null and there is null)").select("rawdoc_id", "line_no").distinct()

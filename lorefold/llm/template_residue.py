@@ -157,7 +157,12 @@ def evidence(line: str) -> str | None:
         return None
     if _is_latin(low):
         return "filler"
-    return by_sentences(s, _message)
+    return by_sentences(s, _message if len(s) <= ONE_SENTENCE else _stemmed_message)
+
+
+def _stemmed_message(s: str) -> str | None:
+    """_message, tried only on sentences that hold one of its stems."""
+    return _message(s) if next(_stems().iter(s.lower()), None) is not None else None
 
 
 # The share of a line's characters that sentences of one kind must fill, and the length up to which a line
@@ -172,14 +177,19 @@ def by_sentences(line: str, kind_of: Callable[[str], T | None]) -> T | None:
     if len(line) <= ONE_SENTENCE:
         return kind_of(line)
     chars: dict[T, int] = {}
-    parts = [p for p in _SENTENCE_END.split(line) if p]
-    for p in parts:
-        kind = kind_of(p)
+    other, most, at = 0, (1 - SENTENCE_SHARE) * len(line), 0
+    while at < len(line):
+        end = _SENTENCE_END.search(line, at)
+        to = end.start() if end and end.start() > at else len(line)
+        kind = kind_of(line[at:to])
         if kind:
-            chars[kind] = chars.get(kind, 0) + len(p)
-    if not chars:
-        return None
-    return max(chars, key=chars.__getitem__) if sum(chars.values()) >= SENTENCE_SHARE * sum(map(len, parts)) else None
+            chars[kind] = chars.get(kind, 0) + to - at
+        else:
+            other += to - at
+            if other > most:  # no kind can fill its share any more
+                return None
+        at = max(end.end(), to) if end and to < len(line) else len(line)
+    return max(chars, key=chars.__getitem__) if chars else None
 
 
 def _is_latin(low: str) -> bool:
