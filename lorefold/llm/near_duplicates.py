@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 3, 0.6
 LEAST_SLOTS, MOST_SLOTS, CHUNK = 1 << 21, 1 << 24, 1 << 13
 # Bytes of placed records that one region should hold, and population from which a pivot is divided.
 REGION_BYTES, POPULOUS = 48_000_000, 20_000
+# Rows of ids up to which a side of a join may be broadcast.
+BROADCAST_ROWS = 500_000
 _EPS = 1e-9
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -111,8 +113,10 @@ def without_background(q: np.ndarray) -> np.ndarray:
     background = np.exp2(np.median(q) / 8)
     if background < 16:  # a sparse table: populations are as counted
         return q
-    above = np.maximum(np.exp2(q / 8) - background, 2)
-    return np.where(q > 0, np.minimum(255, np.round(8 * np.log2(above))), 0).astype(np.uint8)
+    level = np.arange(256)
+    above = np.maximum(np.exp2(level / 8) - background, 2)
+    # there are 256 levels; float terms of all slots would take hundreds of MB on the driver
+    return np.where(level > 0, np.minimum(255, np.round(8 * np.log2(above))), 0).astype(np.uint8)[q]
 
 
 def populations(words: DataFrame, size: int = SHINGLE, slots: int | None = None) -> tuple[np.ndarray, int, int]:
@@ -299,9 +303,10 @@ def similar_ids(words: DataFrame, similarity: float = SIMILARITY, size: int = SH
     # more partitions than regions, so that few regions share one by their hashes
     pairs = placed.repartition(4 * regions, "region").groupBy("region").applyInPandas(lambda pdf: join_region(pdf, similarity), "a bigint, b bigint")
     pairs = materialise(pairs.distinct(), "candidates")
+    # merged: the planner takes the array of words for 8 bytes and would broadcast the table
     sets = words.select("id", "words")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")).hint("merge"), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -322,7 +327,11 @@ def similar_classes(sections: DataFrame, similarity: float = SIMILARITY, size: i
     similarity) between representatives. Copies never meet in a region."""
     words = word_table(document_texts(sections), size)
     members = copy_classes(words)
-    single = words.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    again = members.where("id <> rep").select("id")
+    # counted, as the planner goes by the bytes of compressed files
+    if again.count() > BROADCAST_ROWS:
+        again = again.hint("merge")
+    single = words.join(again, "id", "left_anti")
     return words, members, materialise(similar_ids(single, similarity, size), "pairs")
 
 
@@ -350,7 +359,7 @@ def expanded(words: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFram
     within = salted_lookup(members.select("rep", F.col("id").alias("a")), members.select("rep", F.col("id").alias("b")), ["rep"], ["a"])
     within = within.where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
     name = words.select("id", "doc_id")
-    named = sides.unionByName(within).join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("da")), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("db")), "b")
+    named = sides.unionByName(within).join(name.select(F.col("id").alias("a"), F.col("doc_id").alias("da")).hint("merge"), "a").join(name.select(F.col("id").alias("b"), F.col("doc_id").alias("db")).hint("merge"), "b")
     return named.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"), "similarity")
 
 
@@ -379,7 +388,7 @@ def connected_groups(pairs: DataFrame, a: str = "doc_id_a", b: str = "doc_id_b",
     else:
         raise RuntimeError("components did not settle")
     root = current.groupBy("u").agg(F.min("v").alias("group_id"))
-    return links.join(root, "u", "left").select(F.col("u").alias("doc_id"), F.coalesce("group_id", "u").alias("group_id"), "links")
+    return links.join(root.hint("merge"), "u", "left").select(F.col("u").alias("doc_id"), F.coalesce("group_id", "u").alias("group_id"), "links")
 
 
 def near_duplicate_groups(sections: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -389,11 +398,11 @@ def near_duplicate_groups(sections: DataFrame, similarity: float = SIMILARITY, s
     words, members, pairs = similar_classes(sections, similarity, size)
     sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    weighed = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("outer"))
+    weighed = both.join(sizes.select(F.col("rep").alias("other"), "n").hint("merge"), "other", "left").groupBy("rep").agg(F.sum(F.coalesce("n", F.lit(1))).alias("outer"))
     classes = weighed.join(sizes, "rep", "full").select("rep", F.coalesce("n", F.lit(1)).alias("copies"), (F.coalesce("outer", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links"))
     roots = connected_groups(pairs, "a", "b").select(F.col("doc_id").alias("rep"), F.col("group_id").alias("root"))
-    classes = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rep_of = words.select("id", "doc_id").join(members, "id", "left").select("doc_id", "id", F.coalesce("rep", "id").alias("rep"))
+    classes = classes.join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rep_of = words.select("id", "doc_id").join(members.hint("merge"), "id", "left").select("doc_id", "id", F.coalesce("rep", "id").alias("rep"))
     rows = salted_lookup(rep_of, classes, ["rep"], ["id"])
     rows = materialise(rows.select("doc_id", "id", "root", "copies", "links"), "grouped")
     names = rows.groupBy("root").agg(F.min("doc_id").alias("group_id"))

@@ -307,3 +307,34 @@ def test_large_classes_are_divided(spark, monkeypatch):
     assert got == {("d00", 12)}
     hub = spark.createDataFrame([("m", f"x{k}") for k in range(30)], "doc_id_a string, doc_id_b string")
     assert {r.group_id for r in nd.connected_groups(hub).collect()} == {"m"}
+
+
+def plan_of(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """The planner takes a compressed file of words for far less than it holds: at the usual threshold it broadcast all of it."""
+    docs = edited_docs(40, random.Random(12)) | {f"same{i}": ["alpha beta gamma delta epsilon"] for i in range(4)}
+    words = nd.word_table(nd.document_texts(sections(spark, docs)))
+    assert "Broadcast" not in plan_of(nd.similar_ids(words))
+    found = nd.similar_documents(sections(spark, docs))
+    plan = plan_of(found)
+    assert "BroadcastHashJoin [a#" not in plan and "BroadcastHashJoin [b#" not in plan
+    # copies beyond the bound are merged and left out all the same
+    monkeypatch.setattr(nd, "BROADCAST_ROWS", 1)
+    again = nd.similar_documents(sections(spark, docs))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in found.collect()}
+    assert {(r.doc_id_a, r.doc_id_b) for r in again.collect()} == brute(docs, 0.6, 3)
+
+
+def test_levels_take_little_memory():
+    import tracemalloc
+
+    q = np.full(1 << 20, 160, np.uint8)
+    tracemalloc.start()
+    nd.without_background(q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(q)
